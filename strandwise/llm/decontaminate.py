@@ -102,43 +102,58 @@ def frequencies(texts: DataFrame, items: Items) -> np.ndarray:
 HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("n_seeds", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64())])
 
 
+def hits(texts: list[str], items: Items, seeds: list[list[tuple[int, int]]], threshold: float):
+    """(text position, item position, share of the full score, seeds, first and last word) of texts that align with items."""
+    w = word_block(texts)
+    h, first = grams(w, items.sizes)
+    hit, g = items.look(h)
+    near: dict[tuple[int, int], list[int]] = {}
+    for place, gram in zip(first[hit].tolist(), g.tolist(), strict=True):
+        for item, inside in seeds[gram]:
+            near.setdefault((int(w.doc[place]), item), []).append(place - inside)
+    for (doc, item), starts in near.items():
+        words = items.words[item]
+        lo, hi, slack, best = int(w.first[doc]), int(w.first[doc + 1]), len(words) // 2 + 2, (0, 0)
+        # passages: windows about the seeds, joined where they overlap
+        passages: list[list[int]] = []
+        for s in sorted(set(starts)):
+            a, b = max(lo, s - slack), min(hi, s + len(words) + slack)
+            if passages and a <= passages[-1][1]:
+                passages[-1][1] = b
+            else:
+                passages.append([a, b])
+        for a, b in passages:
+            score, end = align(words, w.hash[a:b])
+            if score > best[0]:
+                best = (score, a + end)
+        if best[0] >= threshold * 2 * len(words):
+            yield doc, item, best[0] / (2 * len(words)), len(starts), max(lo, best[1] - len(words)) - lo, best[1] - lo
+
+
 def scan(rows: DataFrame, items: Items, threshold: float) -> DataFrame:
-    """One row for each row of ``rows`` (doc_id, text) and item that align; ``score`` is a share of the full score."""
+    """One row for each row of ``rows`` (doc_id, text) and item that align."""
     seeds = items.seeds(frequencies(rows.select("text"), items))
 
     def run(batches):
         for batch in batches:
             keys, out = batch.column("doc_id").to_pylist(), {n: [] for n in HITS.names}
             for at, part in common.grouped(enumerate(batch.column("text").to_pylist())):
-                w = word_block(part)
-                h, first = grams(w, items.sizes)
-                hit, g = items.look(h)
-                near: dict[tuple[int, int], list[int]] = {}
-                for place, gram in zip(first[hit].tolist(), g.tolist(), strict=True):
-                    for item, inside in seeds[gram]:
-                        near.setdefault((int(w.doc[place]), item), []).append(place - inside)
-                for (doc, item), starts in near.items():
-                    words = items.words[item]
-                    lo, hi, slack, best = int(w.first[doc]), int(w.first[doc + 1]), len(words) // 2 + 2, (0, 0, 0)
-                    # passages: windows about the seeds, joined where they overlap
-                    spans: list[list[int]] = []
-                    for s in sorted(set(starts)):
-                        a, b = max(lo, s - slack), min(hi, s + len(words) + slack)
-                        if spans and a <= spans[-1][1]:
-                            spans[-1][1] = b
-                        else:
-                            spans.append([a, b])
-                    for a, b in spans:
-                        score, end = align(words, w.hash[a:b])
-                        best = max(best, (score, -a, a + end), key=lambda x: x[0])
-                    if best[0] >= threshold * 2 * len(words):
-                        for n, v in zip(HITS.names, (keys[at[doc]], items.ids[item], best[0] / (2 * len(words)), len(starts), max(lo, best[2] - len(words)) - lo, best[2] - lo), strict=True):
-                            out[n].append(v)
+                for doc, item, *rest in hits(part, items, seeds, threshold):
+                    for n, v in zip(HITS.names, (keys[at[doc]], items.ids[item], *rest), strict=True):
+                        out[n].append(v)
             yield common.table(out, HITS)
 
     return rows.mapInArrow(run, "doc_id long, item_id long, score double, n_seeds long, start_word long, end_word long")
 
 
+def item_blocks(benchmark: DataFrame):
+    """The items, in blocks of about BLOCK_CHARS characters by hash."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+    blocks = -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS) or 1
+    for k in range(blocks):
+        yield Items([(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()])
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.6) -> DataFrame:
     """(doc_id, item_id, score, n_seeds, start_word, end_word) for each document and test item that align.
 
@@ -149,14 +164,28 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
     do repeated items; empty tables give none; other columns are ignored.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = -(-chars // BLOCK_CHARS) or 1
     out = None
-    for k in range(blocks):
-        part = Items([(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()])
-        hits = scan(rows, part, threshold)
-        out = hits if out is None else out.unionAll(hits)
+    for items in item_blocks(benchmark):
+        found = scan(rows, items, threshold)
+        out = found if out is None else out.unionAll(found)
+    return out
+
+
+def decontaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """``documents`` without those that ``contaminated`` finds, all columns kept; rows are judged in the scan, unshuffled."""
+    out = documents
+    for items in item_blocks(benchmark):
+        seeds = items.seeds(frequencies(documents.select("text"), items))
+
+        def run(batches, items=items, seeds=seeds):
+            for batch in batches:
+                stay = np.ones(batch.num_rows, bool)
+                for at, part in common.grouped(enumerate(batch.column("text").to_pylist())):
+                    for doc, *_ in hits(part, items, seeds, threshold):
+                        stay[at[doc]] = False
+                yield batch.filter(pa.array(stay))
+
+        out = out.mapInArrow(run, documents.schema)
     return out
 
 
