@@ -91,7 +91,7 @@ def sketch(texts: DataFrame, words: int) -> tuple[np.ndarray, dict[int, int], fl
             np.add.at(cells, (h & np.uint64(CELLS - 1)).astype(np.int64), 1)
             n = np.diff(first)
             sizes += np.bincount(n[n <= LIGHT_MOST], minlength=LIGHT_MOST + 1)
-        some = np.flatnonzero(cells > 3 + 3 * cells.mean())
+        some = np.flatnonzero(cells > 3 + 2 * cells.mean())
         small = np.flatnonzero(sizes)
         yield common.table({"kind": [0] * len(some) + [1] * len(small), "key": np.concatenate([some, small]), "n": np.concatenate([cells[some], sizes[small]])}, schema)
 
@@ -260,7 +260,12 @@ def joined(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     right = lists.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     near = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     fits = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") > light) & (F.col("ca") != F.col("cb"))
-    pairs = common.stored(left.join(right, "token").where(near & fits).select("a", "b").distinct(), "jaccard-pairs")
+    # sets that link share at least so many prefix tokens: of the set whose prefix ends first, all but those that the
+    # intersection may lack
+    both = F.ceil((F.col("na") + F.col("nb")) * F.lit(percent) / F.lit(100.0 + percent) - 1e-9)
+    enough = F.greatest(F.lit(1), both - F.expr(f"cast(ceil({percent} * nb / 100D - 1e-9) as bigint)") + 1)
+    pairs = left.join(right, "token").where(near & fits).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
+    pairs = common.stored(pairs.where(F.col("k") >= enough).select("a", "b"), "jaccard-pairs")
     tokens = wanted_sets(documents, classes, pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")), words)
     more = common.stored(verified(pairs, tokens, percent), "jaccard-more")
     groups = common.stored(common.components(links.unionAll(more)), "jaccard-components") if not more.isEmpty() else groups
