@@ -1,4 +1,5 @@
 """Queries of the reference's operators on the driver's tables, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from .queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
