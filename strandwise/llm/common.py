@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Documents are processed in groups of about so many bytes of text inside a task.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,6 +55,12 @@ def grouped(values: Iterable[tuple[int, str | None]], limit: int = BLOCK_BYTES)
         yield keys, texts
 
 
+def values(column: pa.Array, rows: int = 256) -> Iterator:
+    """The column's values, as Python objects for ``rows`` rows at a time."""
+    for k in range(0, len(column), rows):
+        yield from column.slice(k, rows).to_pylist()
+
+
 def table(batch: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(batch[f.name], type=f.type) for f in schema], schema=schema)
 

@@ -84,7 +84,7 @@ def frequencies(texts: DataFrame, items: Items) -> np.ndarray:
     def run(batches):
         counts = np.zeros(len(items.grams), np.int64)
         for batch in batches:
-            for _, part in common.grouped(enumerate(batch.column("text").to_pylist())):
+            for _, part in common.grouped(enumerate(common.values(batch.column("text")))):
                 w = word_block(part)
                 h, at = grams(w, items.sizes)
                 hit, g = items.look(h)
@@ -137,7 +137,7 @@ def scan(rows: DataFrame, items: Items, threshold: float) -> DataFrame:
     def run(batches):
         for batch in batches:
             keys, out = batch.column("doc_id").to_pylist(), {n: [] for n in HITS.names}
-            for at, part in common.grouped(enumerate(batch.column("text").to_pylist())):
+            for at, part in common.grouped(enumerate(common.values(batch.column("text")))):
                 for doc, item, *rest in hits(part, items, seeds, threshold):
                     for n, v in zip(HITS.names, (keys[at[doc]], items.ids[item], *rest), strict=True):
                         out[n].append(v)
@@ -180,7 +180,7 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, threshold: float
         def run(batches, items=items, seeds=seeds):
             for batch in batches:
                 stay = np.ones(batch.num_rows, bool)
-                for at, part in common.grouped(enumerate(batch.column("text").to_pylist())):
+                for at, part in common.grouped(enumerate(common.values(batch.column("text")))):
                     for doc, *_ in hits(part, items, seeds, threshold):
                         stay[at[doc]] = False
                 yield batch.filter(pa.array(stay))

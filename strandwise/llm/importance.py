@@ -35,7 +35,7 @@ def model(documents: DataFrame, targets: DataFrame) -> np.ndarray:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             hit = np.array([bool(x) for x in batch.column("target").to_pylist()], dtype=bool)
-            for at, texts in common.grouped(enumerate(batch.column("text").to_pylist())):
+            for at, texts in common.grouped(enumerate(common.values(batch.column("text")))):
                 doc, bucket = features(texts)
                 raw += np.bincount(bucket, minlength=BUCKETS)
                 target += np.bincount(bucket[hit[np.array(at)][doc]], minlength=BUCKETS)
@@ -58,7 +58,7 @@ def weighed(documents: DataFrame, ratio: np.ndarray, seed: int = 7) -> DataFrame
     def run(batches):
         for batch in batches:
             keys = batch.column("doc_id").to_pylist()
-            for at, texts in common.grouped(enumerate(batch.column("text").to_pylist())):
+            for at, texts in common.grouped(enumerate(common.values(batch.column("text")))):
                 doc, bucket = features(texts)
                 n = np.bincount(doc, minlength=len(texts))
                 w = np.bincount(doc, weights=ratio[bucket], minlength=len(texts))

@@ -28,7 +28,7 @@ from . import common, textblocks
 
 WORDS, PERCENT = 4, 85
 #: Cells of the sketch that orders tokens by frequency, bits of the filter of classes to verify: fixed sizes, whatever the input.
-CELLS, FILTER_BITS = 1 << 20, 1 << 24
+CELLS, FILTER_BITS = 1 << 22, 1 << 24
 BANDS, ROWS, SET_BYTES = 6, 3, 5
 LIGHT_MOST = 20
 
@@ -72,7 +72,7 @@ def digests(first: np.ndarray, h: np.ndarray, d: np.ndarray, texts: int) -> tupl
 
 def _blocks(batches, column="text"):
     for batch in batches:
-        for at, texts in common.grouped(enumerate(batch.column(column).to_pylist())):
+        for at, texts in common.grouped(enumerate(common.values(batch.column(column)))):
             yield batch, at, texts
 
 
@@ -85,7 +85,7 @@ def sketch(texts: DataFrame, words: int) -> tuple[np.ndarray, dict[int, int], fl
     schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
-        cells, sizes = np.zeros(CELLS, np.int64), np.zeros(LIGHT_MOST + 1, np.int64)
+        cells, sizes = np.zeros(CELLS, np.uint32), np.zeros(LIGHT_MOST + 1, np.int64)
         for _, _, part in _blocks(batches):
             first, h, _ = sets(part, words)
             np.add.at(cells, (h & np.uint64(CELLS - 1)).astype(np.int64), 1)
@@ -253,19 +253,19 @@ def joined(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     groups = common.stored(common.components(links), "jaccard-groups")
     # all other pairs: lists of prefix tokens, across components
     placed = classes.select("node", "n", "prefix").join(groups, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"), "prefix")
-    lists = placed.where(F.size("prefix") > 0).select("node", "n", "component", F.explode("prefix").alias("token"))
+    lists = placed.where(F.size("prefix") > 0).select("node", "n", "component", F.posexplode("prefix").alias("at", "token"))
     mixed = lists.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
     lists = common.stored(lists.join(mixed, "token"), "jaccard-lists")
-    left = lists.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = lists.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
+    left = lists.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("component").alias("ca"))
+    right = lists.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("component").alias("cb"))
     near = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     fits = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") > light) & (F.col("ca") != F.col("cb"))
-    # sets that link share at least so many prefix tokens: of the set whose prefix ends first, all but those that the
-    # intersection may lack
-    both = F.ceil((F.col("na") + F.col("nb")) * F.lit(percent) / F.lit(100.0 + percent) - 1e-9)
-    enough = F.greatest(F.lit(1), both - F.expr(f"cast(ceil({percent} * nb / 100D - 1e-9) as bigint)") + 1)
-    pairs = left.join(right, "token").where(near & fits).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
-    pairs = common.stored(pairs.where(F.col("k") >= enough).select("a", "b"), "jaccard-pairs")
+    # sets that link have ``both`` tokens in common at least, so of the first n - both + l tokens of each they share l
+    both = f"(({percent} * (na + nb) + {99 + percent}) div {100 + percent})"
+    share = f"greatest(1, ({both} - ({percent} * nb + 99) div 100 + 1) div 3)"
+    early = F.expr(f"pa < na - {both} + {share} and pb < nb - {both} + {share}")
+    pairs = left.join(right, "token").where(near & fits & early).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
+    pairs = common.stored(pairs.where(F.expr(f"k >= {share}")).select("a", "b"), "jaccard-pairs")
     tokens = wanted_sets(documents, classes, pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")), words)
     more = common.stored(verified(pairs, tokens, percent), "jaccard-more")
     groups = common.stored(common.components(links.unionAll(more)), "jaccard-components") if not more.isEmpty() else groups

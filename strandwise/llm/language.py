@@ -137,7 +137,7 @@ def identified(documents: DataFrame, model: Model, reject: bool = False) -> Data
     def run(batches):
         for batch in batches:
             lang, score = ["und"] * batch.num_rows, [0.0] * batch.num_rows
-            for at, texts in common.grouped((k, t) for k, t in enumerate(batch.column("text").to_pylist()) if t and LETTER.search(t)):
+            for at, texts in common.grouped((k, t) for k, t in enumerate(common.values(batch.column("text"))) if t and LETTER.search(t)):
                 p = model.probabilities(texts)
                 for k, c, s in zip(at, p.argmax(axis=1), p.max(axis=1), strict=True):
                     if not reject or s >= model.reject:

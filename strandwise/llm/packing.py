@@ -128,7 +128,7 @@ def packed(documents: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
 
         for batch in batches:
             keys = batch.column("doc_id").to_pylist()
-            for at, texts in common.grouped(enumerate(batch.column("text").to_pylist())):
+            for at, texts in common.grouped(enumerate(common.values(batch.column("text")))):
                 for k, x in zip(at, code.ids(texts), strict=True):
                     names.append(keys[k])
                     ids.append(np.concatenate([x, end]))

@@ -76,7 +76,7 @@ def _raw(texts):
 
 def _blocks(batches):
     for batch in batches:
-        for at, texts in common.grouped(enumerate(batch.column("text").to_pylist())):
+        for at, texts in common.grouped(enumerate(common.values(batch.column("text")))):
             yield batch, at, _raw(texts)
 
 

@@ -151,7 +151,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
             keys = batch.column("doc_id").to_pylist()
             if len(keys):
                 shard = batch.column("shard")[0].as_py()
-            for at, texts in common.grouped(enumerate(batch.column("text").to_pylist())):
+            for at, texts in common.grouped(enumerate(common.values(batch.column("text")))):
                 for k, x in zip(at, code.ids(texts), strict=True):
                     names.append(keys[k])
                     ids.append(np.concatenate([x, end]))
