@@ -7,16 +7,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space of `[^\x20\x09-\x0D]+`, and the symbols that are counted.
-WHITE, SYMBOLS = "\t\n\x0b\x0c\r", "#*$%&|<>"
-#: Phrases of page furniture, matched in lower case.
-BOILERPLATE = r"cookie|javascript|all rights reserved|copyright|terms of (use|service)|privacy policy|sign (in|up)\b|log ?in\b|subscribe|newsletter|click here|read more|share (this|on)|lorem ipsum|released under the"
+WHITE, SYMBOLS, SPLIT = "\t\n\x0b\x0c\r", "#*$%&|<>", r"[\x20\x09-\x0D]+"
+#: Phrases of page furniture, looked for in lower case.
+BOILERPLATE = (
+    "cookie", "javascript", "all rights reserved", "copyright", "terms of use", "terms of service", "privacy policy", "sign in", "sign up", "log in ", "login",
+    "subscribe", "newsletter", "click here", "read more", "share this", "share on", "lorem ipsum", "released under the",
+)
 ENDS = r"[.!?…:;。！？][\"'”’»)\]]*$"
 
 
 def word_list(text: Column) -> Column:
     """Words of the whole text; no word: an empty array."""
-    flat = F.trim(F.translate(text, WHITE, "     "))
-    return F.when(F.length(flat) == 0, F.array().cast("array<string>")).otherwise(F.split(flat, " +"))
+    flat = F.btrim(text, F.lit(WHITE + " "))
+    return F.when(F.length(flat) == 0, F.array().cast("array<string>")).otherwise(F.split(flat, SPLIT))
 
 
 def _given(value: Column, use) -> Column:
@@ -27,13 +30,14 @@ def _given(value: Column, use) -> Column:
 def repeated_words(words: Column) -> Column:
     """Words in runs of three words that stand twice or more in the text, the first included; without a join or shuffle.
 
-    Runs are sorted with their places, equal neighbours give places, and the places' runs are joined to a length.
+    Runs are 64-bit hashes (two of a text's runs share one with a chance below 1e-10, whatever its length up to 60,000
+    words); they are sorted with their places, equal neighbours give places, and the places' runs are joined to a length.
     """
 
     def runs(w: Column) -> Column:
         n = F.size(w) - 2
-        two = F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
-        return F.zip_with(two, F.slice(w, 3, n), lambda a, b: F.concat(a, F.lit(" "), b))
+        two = F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.xxhash64(a, b))
+        return F.zip_with(two, F.slice(w, 3, n), lambda h, c: F.xxhash64(h, c))
 
     def places(sorted_runs: Column) -> Column:
         m = F.size(sorted_runs) - 1
@@ -53,19 +57,18 @@ def repeated_words(words: Column) -> Column:
 
 def line_passes(line: Column, min_words: int = 3) -> Column:
     """A line stays if it ends as a sentence does, has some words, and is no navigation, boilerplate, shouting or litany."""
-    flat = F.trim(F.translate(line, WHITE, "     "))
-    words = F.split(flat, " +")
-    symbols = F.length(flat) - F.length(F.translate(flat, SYMBOLS, ""))
-    capitals = F.length(F.regexp_replace(flat, r"\P{Lu}", ""))
-    small = F.length(F.regexp_replace(flat, r"\P{Ll}", ""))
-    return (
-        flat.rlike(ENDS)
-        & (F.size(words) >= min_words)
-        & (symbols * 20 <= F.length(flat))
-        & (capitals <= small)
-        & ~F.lower(flat).rlike(BOILERPLATE)
-        & (F.size(F.array_distinct(words)) * 4 >= F.size(words))
-    )
+
+
+    def judged(flat: Column, low: Column) -> Column:
+        symbols = F.length(flat) - F.length(F.translate(flat, SYMBOLS, ""))
+        furniture = F.lit(False)
+        for phrase in BOILERPLATE:
+            furniture = furniture | low.contains(phrase)
+        varied = _given(F.split(flat, SPLIT), lambda w: (F.size(w) >= min_words) & (F.size(F.array_distinct(w)) * 4 >= F.size(w)))
+        return flat.rlike(ENDS) & ((F.upper(flat) != flat) | (low == flat)) & (symbols * 20 <= F.length(flat)) & ~furniture & varied
+
+    # each value is bound once, as nothing inside a lambda is shared otherwise
+    return _given(F.btrim(line, F.lit(WHITE + " ")), lambda flat: _given(F.lower(flat), lambda low: judged(flat, low)))
 
 
 def cleaned(documents: DataFrame, min_words: int = 50, min_kept: float = 0.5) -> DataFrame:
@@ -77,23 +80,22 @@ def cleaned(documents: DataFrame, min_words: int = 50, min_kept: float = 0.5) ->
     empty table gives no rows. All work is in the row, so nothing is shuffled.
     """
     text = F.coalesce("text", F.lit(""))
-    rows = documents.select("doc_id", text.alias("text"))
-    words = word_list(F.col("text"))
-    has_word = lambda x: F.length(F.trim(F.translate(x, WHITE, "     "))) > 0
-    lines = F.filter(F.split("text", "\n"), has_word)
+    has_word = lambda x: x.rlike(r"[^\x20\x09-\x0D]")
+    # the arrays are columns of their own, so each is made once however often it is used
+    rows = documents.select("doc_id", text.alias("text")).select("doc_id", "text", word_list(F.col("text")).alias("words"), F.filter(F.split("text", "\n"), has_word).alias("lines"))
     rows = rows.select(
         "doc_id",
-        F.size(words).cast("long").alias("n_words"),
-        F.length(F.translate("text", WHITE + " ", "")).cast("long").alias("word_chars"),
+        F.size("words").cast("long").alias("n_words"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        _given(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-        repeated_words(words).cast("long").alias("n_repeat_words"),
-        F.size(lines).cast("long").alias("n_lines"),
-        F.aggregate(lines, F.lit(0), lambda s, x: s + F.length(x)).cast("long").alias("line_chars"),
-        F.filter(lines, line_passes).alias("good"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.length(F.array_join("lines", "")).cast("long").alias("line_chars"),
+        F.filter("lines", line_passes).alias("good"),
     )
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    enough = F.aggregate("good", F.lit(0), lambda s, x: s + F.length(x)) >= F.col("line_chars") * min_kept
+    enough = F.length(F.array_join("good", "")) >= F.col("line_chars") * min_kept
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & enough).alias("kept"), "n_lines",
         F.size("good").cast("long").alias("n_lines_kept"), F.array_join("good", "\n").alias("clean_text"),
