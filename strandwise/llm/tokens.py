@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -30,10 +31,30 @@ class UnitEncoder:
         self.tokenizer.encode_special_tokens = True
         self.drops_space, self.most = drops_space, most
         self.known: dict[str, bytes] = {}
+        # ids of tokens that begin with the byte-level sign of a space
+        self.opens = np.zeros(1 << 16, dtype=bool)
+        self.opens[[k for t, k in self.tokenizer.get_vocab().items() if t.startswith("\u0120")]] = True
 
     def encode(self, units: list[str]) -> list[bytes]:
         return [array("H", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
+    def encode_new(self, units: list[str], run: int = 256) -> Iterator[tuple[str, bytes]]:
+        """Each unit with its ids. Where tokens keep the space, ``run`` units that are one space and then no white space
+        are encoded as one text: each begins at its only token that opens with a space."""
+        spaced = [] if self.drops_space else [u for u in units if u[:1] == " " and u.split() == [u[1:]]]
+        rest = units if not spaced else list(set(units).difference(spaced))
+        parts = [spaced[k : k + run] for k in range(0, len(spaced), run)]
+        for part, code in zip(parts, self.tokenizer.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(code.ids, dtype=np.uint16)
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) != len(part):  # not the expected tokens: each unit by itself
+                rest = rest + part
+                continue
+            data, cuts = ids.tobytes(), [*(2 * at).tolist(), 2 * len(ids)]
+            for k, unit in enumerate(part):
+                yield unit, data[cuts[k] : cuts[k + 1]]
+        yield from zip(rest, self.encode(rest), strict=True)
+
     def units(self, text: str) -> list[str]:
         if self.drops_space:
             try:  # in Latin-1, lowering first changes nothing: no composition, no context
@@ -58,8 +79,7 @@ class UnitEncoder:
             ends = [u for u in need if u[-1:] in ",." and u[-2:-1].isalpha()]
             need.difference_update(ends)
             need.update(u for u in (*{u[:-1] for u in ends}, ",", ".") if u not in known)
-            new = list(need)
-            known.update(zip(new, self.encode(new), strict=True))
+            known.update(self.encode_new(list(need)))
             known.update((u, known[u[:-1]] + known[u[-1]]) for u in ends)
         return [np.frombuffer(b"".join(map(known.__getitem__, units)), dtype=np.uint16).astype(np.uint32) for units in cut]
 
