@@ -5,7 +5,9 @@ Exact steps, each on the distinct shingle sets only:
 1. Equal sets are one class; only classes go on.
 2. Light classes emit every subset of the sizes that an intersection can have. Classes with a common subset of size c
    link if their sizes allow it, and all that link within such a group link with its smallest member, so stars suffice.
-3. Heavy classes meet first by minhash bands, again as stars, verified: this only contracts groups of near copies.
+3. Heavy classes meet first by minhash bands, as stars around two members of each bucket, verified: this only contracts
+   groups of near copies. One centre has the fewest rare tokens, as the text that the others were made from has, and one is
+   drawn by hash, anew for each key: members near the threshold miss some of them.
 4. Inverted lists of prefix tokens (rare tokens first) give all pairs that can link. Lists within one component are
    dropped, pairs are made across components only, and verified on the sets. No link between components is lost: two
    sets that link share a token of their prefixes under any common order.
@@ -95,12 +97,11 @@ def sketch(texts: DataFrame, words: int) -> tuple[np.ndarray, dict[int, int], fl
         small = np.flatnonzero(sizes)
         yield common.table({"kind": [0] * len(some) + [1] * len(small), "key": np.concatenate([some, small]), "n": np.concatenate([cells[some], sizes[small]])}, schema)
 
-    heavy, sizes = np.zeros(CELLS, np.uint32), {}
-    for kind, key, n in texts.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n")).collect():
-        if kind == 0:
-            heavy[key] = min(n, 0xFFFFFFFF)
-        else:
-            sizes[key] = n
+    heavy = np.zeros(CELLS, np.uint32)
+    counts = texts.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).toArrow()
+    kind, key, n = (counts.column(c).to_numpy() for c in ("kind", "key", "n"))
+    heavy[key[kind == 0]] = np.minimum(n[kind == 0], 0xFFFFFFFF)
+    sizes = dict(zip(key[kind == 1].tolist(), n[kind == 1].tolist(), strict=True))
     counted = heavy[heavy > 0].astype(float)
     return heavy, sizes, float(np.median(counted)) if len(counted) else 1.0
 
@@ -118,7 +119,32 @@ def boundary(sizes: dict[int, int], list_length: float, percent: int = PERCENT)
     return min(costs, key=lambda x: (costs[x], x))
 
 
-SIGNED = "doc_id long, n int, h1 long, h2 long, bands array<long>, prefix array<long>, subsets array<struct<c:int,key:long>>"
+def subset_keys(first: np.ndarray, h: np.ndarray, light: int, percent: int) -> pa.ListArray:
+    """For each set, the (c, key) of all its subsets of c tokens for each c an intersection can have; none over ``light``."""
+    n = np.diff(first)
+    counts = np.zeros(len(n), np.int64)
+    made = {}
+    for size in np.unique(n[(n > 1) & (n <= light)]).tolist():
+        own = np.flatnonzero(n == size)
+        tokens = h[first[own][:, None] + np.arange(size)]
+        parts = []
+        for c in range(least(size, percent), size + 1):
+            picked = np.array(list(combinations(range(size), c)))
+            key = np.full((len(own), len(picked)), c, np.uint64)
+            for k in range(c):
+                key = key * np.uint64(0xC2B2AE3D27D4EB4F) + tokens[:, picked[:, k]]
+            parts.append((c, textblocks.mixed(key)))
+        made[size] = (own, np.concatenate([np.full(key.shape[1], c, np.int32) for c, key in parts]), np.hstack([key for _, key in parts]))
+        counts[own] = made[size][2].shape[1]
+    offsets = np.concatenate([[0], np.cumsum(counts)])
+    sizes, keys = np.zeros(offsets[-1], np.int32), np.zeros(offsets[-1], np.uint64)
+    for own, c, key in made.values():
+        at = offsets[own][:, None] + np.arange(len(c))
+        sizes[at], keys[at] = c, key
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(sizes), pa.array(keys.view(np.int64))], ["c", "key"]))
+
+
+SIGNED = "doc_id long, n int, rare int, h1 long, h2 long, bands array<long>, prefix array<long>, subsets array<struct<c:int,key:long>>"
 
 
 def signed(documents: DataFrame, words: int, percent: int) -> tuple[DataFrame, int]:
@@ -127,7 +153,7 @@ def signed(documents: DataFrame, words: int, percent: int) -> tuple[DataFrame, i
     heavy, sizes, length = sketch(texts, words)
     light = boundary(sizes, length, percent)
     shared = documents.sparkSession.sparkContext.broadcast(heavy)  # CELLS * 4 bytes
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("subsets", pa.list_(pa.struct([("c", pa.int32()), ("key", pa.int64())])))])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("rare", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("subsets", pa.list_(pa.struct([("c", pa.int32()), ("key", pa.int64())])))])
 
     def run(batches):
         count = shared.value
@@ -137,7 +163,8 @@ def signed(documents: DataFrame, words: int, percent: int) -> tuple[DataFrame, i
             h1, h2 = digests(first, h, d, len(part))
             n = np.diff(first)
             # prefix: by estimated count, then hash
-            order = np.lexsort((h, count[(h & np.uint64(CELLS - 1)).astype(np.int64)], d))
+            counted = count[(h & np.uint64(CELLS - 1)).astype(np.int64)]
+            order = np.lexsort((h, counted, d))
             ranked = h[order].view(np.int64)
             full = np.flatnonzero(n)
             minhash = []
@@ -147,21 +174,25 @@ def signed(documents: DataFrame, words: int, percent: int) -> tuple[DataFrame, i
                     low[full] = np.minimum.reduceat(textblocks.mixed(h * np.uint64(2 * k + 3) + np.uint64(k)), first[:-1][full])
                 minhash.append(low)
             bands = [textblocks.mixed(sum((minhash[b * ROWS + r] * np.uint64(0x9E3779B97F4A7C15 + 2 * r) for r in range(ROWS)), np.full(len(part), b + 1, np.uint64))).view(np.int64) for b in range(BANDS)]
-            out = {c: [] for c in schema.names} | {"doc_id": [keys[k].as_py() for k in at], "n": n, "h1": h1, "h2": h2}
-            for k in range(len(part)):
-                size, a = int(n[k]), int(first[k])
-                is_light = size <= light
-                out["bands"].append([] if is_light else [int(b[k]) for b in bands])
-                # light sets stand in lists only if a heavy set can link with them
-                listed = size and size >= least(light + 1, percent)
-                out["prefix"].append(ranked[a : a + size - least(size, percent) + 1].tolist() if listed else [])
-                subsets = []
-                if is_light and size > 1:
-                    items = h[a : a + size].tolist()
-                    for c in range(least(size, percent), size + 1):
-                        subsets += [{"c": c, "key": hash((c, *s))} for s in combinations(items, c)]
-                out["subsets"].append(subsets)
-            yield common.table(out, schema)
+            # light sets stand in lists only if a heavy set can link with them
+            listed = (n > 0) & (n >= least(light + 1, percent))
+            early = np.where(listed, n + 1 + (-percent * n) // 100, 0)
+            offsets = np.concatenate([[0], np.cumsum(early)])
+            prefix = ranked[np.repeat(first[:-1] - offsets[:-1], early) + np.arange(offsets[-1])]
+            many = np.where(n > light, BANDS, 0)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    keys.take(pa.array(at)),
+                    pa.array(n, pa.int32()),
+                    pa.array(np.bincount(d, counted == 0, minlength=len(part)), pa.int32()),
+                    pa.array(h1),
+                    pa.array(h2),
+                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array(np.stack(bands, 1)[n > light].ravel())),
+                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(prefix)),
+                    subset_keys(first, h, light, percent),
+                ],
+                names=schema.names,
+            )
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return common.stored(rows.mapInArrow(run, SIGNED), "jaccard-signed"), light
@@ -238,16 +269,19 @@ def joined(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     """
     rows, light = signed(documents, words, percent)
     full = rows.where("n > 0")
-    one = full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("min_doc"), F.first("bands").alias("bands"), F.first("prefix").alias("prefix"), F.first("subsets").alias("subsets"))
+    one = full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("min_doc"), F.first("rare").alias("rare"), F.first("bands").alias("bands"), F.first("prefix").alias("prefix"), F.first("subsets").alias("subsets"))
     classes = common.stored(one.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
     # light sets: stars of equal subsets
     small = classes.where(F.size("subsets") > 0).select("node", "n", F.explode("subsets").alias("x")).select("node", "n", "x.c", "x.key")
     centre = small.groupBy("c", "key").agg(F.min(F.struct("n", "node")).alias("m"), F.count("*").alias("k")).where("k > 1").select("c", "key", F.col("m.n").alias("m"), F.col("m.node").alias("a"))
     light_links = small.join(centre, ["c", "key"]).where((F.col("node") != F.col("a")) & _linked(F.col("c"), F.col("n"), F.col("m"), percent)).select("a", F.col("node").alias("b")).distinct()
     # heavy sets: stars of equal bands, verified
-    banded = classes.where(F.size("bands") > 0).select("node", F.explode("bands").alias("key"))
-    centre = banded.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("k")).where("k > 1")
-    stars = common.stored(banded.join(centre, "key").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "jaccard-stars")
+    banded = classes.where(F.size("bands") > 0).select("node", "n", "rare", F.explode("bands").alias("key"))
+    own, drawn = F.struct(F.col("node").alias("a"), F.col("n").alias("na")), F.xxhash64("key", "node")
+    centre = banded.groupBy("key").agg(F.count("*").alias("k"), F.min_by(own, F.struct("rare", drawn)).alias("plain"), F.min_by(own, drawn).alias("drawn")).where("k > 1")
+    met = banded.join(centre, "key").select("node", "n", F.explode(F.array("plain", "drawn")).alias("m"))
+    met = met.where((F.col("node") != F.col("m.a")) & (F.least("n", "m.na") * 100 >= F.greatest("n", "m.na") * percent))
+    stars = common.stored(met.select(F.least("node", "m.a").alias("a"), F.greatest("node", "m.a").alias("b")).distinct(), "jaccard-stars")
     tokens = wanted_sets(documents, classes, stars.select(F.col("a").alias("node")).unionAll(stars.select("b")), words)
     links = common.stored(verified(stars, tokens, percent).unionAll(light_links), "jaccard-links")
     groups = common.stored(common.components(links), "jaccard-groups")
