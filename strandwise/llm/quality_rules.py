@@ -92,7 +92,8 @@ def cleaned(documents: DataFrame, min_words: int = 50, min_kept: float = 0.5) ->
         repeated_words(F.col("words")).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         F.length(F.array_join("lines", "")).cast("long").alias("line_chars"),
-        F.filter("lines", line_passes).alias("good"),
+        # a function of two parameters would be given the line's index as its second
+        F.filter("lines", lambda x: line_passes(x)).alias("good"),
     )
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     enough = F.length(F.array_join("good", "")) >= F.col("line_chars") * min_kept

@@ -203,6 +203,20 @@ def test_quality_rules(docs, none, rows):
     assert quality_rules.cleaned(none).count() == 0
 
 
+def test_quality_rules_keep_lines_wherever_they_stand(spark):
+    rng = random.Random(6)
+    docs = []
+    for k in range(6):
+        lines = [" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(1, 12))) + rng.choice([".", ".", ".", ""]) for _ in range((5, 30, 200, 400)[k % 4])]
+        docs.append((k, "\n".join(lines)))
+    got = {r.doc_id: r for r in quality_rules.cleaned(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for k, text in docs:
+        lines = text.split("\n")
+        good = [x for x in lines if len(x.split()) >= 3 and x.endswith(".")]
+        assert (got[k].n_lines, got[k].n_lines_kept, got[k].clean_text) == (len(lines), len(good), "\n".join(good))
+        assert got[k].kept == (len(text.split()) >= 50 and 2 * sum(map(len, good)) >= sum(map(len, lines)))
+
+
 def test_importance(spark, docs, none, rows):
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)] + [(None, 1, None)], "doc_id long, quality int, toxic int")
     got = importance.sampled(docs, labels, share=0.5).collect()
