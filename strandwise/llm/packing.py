@@ -25,7 +25,7 @@ def fill(counts: dict[int, int], capacity: int) -> dict[int, int]:
     steps: list[tuple[int, int, int]] = []
     reach, goal = 1 << lengths[0], 1 << capacity
     for length in lengths:
-        left = min(counts[length] - (length == lengths[0]), capacity // length)
+        left = min(counts[length] - (length == lengths[0]), (capacity - lengths[0]) // length)
         size = 1
         while left > 0 and not reach & goal:
             take = min(size, left)
@@ -48,9 +48,10 @@ def pack(lengths: list[int], capacity: int = 2048) -> list[list[tuple[int, int,
     """Sequences as lists of (document, start, length); ``lengths`` are the documents' token counts.
 
     Whole windows are cut from long documents first; the rests are packed by ``fill``, a found multiset being used as
-    often as its counts allow. When no multiset fills a window any more, the rests left are laid one after another and
-    cut at each window's end, and the last, short window is cut at the powers of two of its length, which need no
-    padding. A length of 0 gives no piece.
+    often as its counts allow. A longest rest whose best multiset is short of ``capacity`` is set aside while the others
+    are packed. Those set aside then take their closest multiset each, its slack filled by one cut from the longest rest
+    left, which goes on as a shorter rest. What is short of a window at the end is cut at the powers of two of its
+    length, which need no padding. A length of 0 gives no piece.
     """
     out: list[list[tuple[int, int, int]]] = []
     rests: dict[int, list[tuple[int, int]]] = {}
@@ -60,17 +61,35 @@ def pack(lengths: list[int], capacity: int = 2048) -> list[list[tuple[int, int,
         if n % capacity:
             rests.setdefault(n % capacity, []).append((doc, whole * capacity))
     counts = {k: len(v) for k, v in rests.items()}
-    while counts:
-        chosen = fill(counts, capacity)
-        if sum(k * c for k, c in chosen.items()) < capacity:
-            break
-        times = min(counts[k] // c for k, c in chosen.items())
-        for _ in range(times):
-            out.append([(*rests[k].pop(), k) for k, c in chosen.items() for _ in range(c)])
-        for k, c in chosen.items():
-            counts[k] -= c * times
-            if not counts[k]:
-                del counts[k]
+    aside: dict[int, int] = {}
+    for cutting in (False, True):
+        while counts:
+            chosen = fill(counts, capacity)
+            slack = capacity - sum(k * c for k, c in chosen.items())
+            if slack and not cutting:
+                longest = max(counts)
+                aside[longest] = counts.pop(longest)
+                continue
+            if slack and chosen == counts:
+                break
+            times = 1 if slack else min(counts[k] // c for k, c in chosen.items())
+            for _ in range(times):
+                out.append([(*rests[k].pop(), k) for k, c in chosen.items() for _ in range(c)])
+            for k, c in chosen.items():
+                counts[k] -= c * times
+                if not counts[k]:
+                    del counts[k]
+            if slack:  # any rest left is longer than the slack, else it would have been chosen
+                longest = max(counts)
+                doc, start = rests[longest].pop()
+                out[-1].append((doc, start, slack))
+                counts[longest] -= 1
+                if not counts[longest]:
+                    del counts[longest]
+                rests.setdefault(longest - slack, []).append((doc, start + slack))
+                counts[longest - slack] = counts.get(longest - slack, 0) + 1
+        if not cutting:
+            counts = aside
     left = [(doc, start, k) for k in sorted(rests, reverse=True) for doc, start in rests[k]]
     room = sum(k for *_, k in left)
     sizes = [capacity] * (room // capacity) + [1 << b for b in reversed(range(capacity.bit_length())) if room % capacity >> b & 1]

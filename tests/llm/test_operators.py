@@ -106,6 +106,22 @@ def test_fill_is_the_best_subset():
         assert sum(k * c for k, c in chosen.items()) == max(sums) and all(c <= counts[k] for k, c in chosen.items())
 
 
+def test_packing_goes_on_when_the_longest_rest_fits_nothing():
+    rng = random.Random(8)
+    lengths = [2047, 2046] + [rng.randint(20, 700) for _ in range(600)]
+    out = packing.pack(lengths, 2048)
+    seen = {k: [] for k in range(len(lengths))}
+    for pieces in out:
+        assert sum(n for *_, n in pieces) == 2048 or len(out) - out.index(pieces) <= 11
+        for doc, start, n in pieces:
+            seen[doc].append((start, start + n))
+    for k, n in enumerate(lengths):
+        spans = sorted(seen[k])
+        assert [a for a, _ in spans] == [0, *(b for _, b in spans[:-1])] and spans[-1][1] == n
+    exact = [p for p in out if sum(n for *_, n in p) == 2048 and all(n == lengths[doc] for doc, _, n in p)]
+    assert len(exact) > 0.9 * len(out) and sum(map(len, out)) < len(lengths) + 0.1 * len(out)
+
+
 def test_url_filter(spark):
     urls = [(k, f"http://h{k}.example.com/{'en' if k % 3 else 'de'}/{k}") for k in range(60)] + [(100, None), (101, "none"), (102, ""), (103, "http://WWW.Example.com/en/a?b"), (104, "x://a.net/fr/#q"), (105, "x://com"), (106, "http://t.example.org/zz"), (106, "http://t.example.org/zz")]
     got = {(r.page_id, r.host, r.path, r.rule): r.verdict for r in url_filter.filtered(spark.createDataFrame([(*u, "clash") for u in urls], "page_id long, url string, score string")).collect()}
