@@ -259,14 +259,9 @@ def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def joined(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row for each of ``documents`` (doc_id, text): doc_id, n_shingles, component_id, h1, h2 (digests of its set).
-
-    ``component_id`` is the smallest doc_id reachable by links. Null, empty and wordless texts have no shingles and
-    link with nothing: their component is their own doc_id. Repeated rows are equal sets, so one class; rows of one
-    doc_id with different texts are judged each by its text. Null doc_ids are nodes as well; a component of such only
-    has a null id. Other columns are ignored; an empty table gives no rows.
-    """
+def linked(documents: DataFrame, words: int, percent: int) -> DataFrame:
+    """The rows of ``joined`` with ``component``, which tells components apart where ids are null or repeated; it is
+    null for texts without words."""
     rows, light = signed(documents, words, percent)
     full = rows.where("n > 0")
     one = full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("min_doc"), F.first("rare").alias("rare"), F.first("bands").alias("bands"), F.first("prefix").alias("prefix"), F.first("subsets").alias("subsets"))
@@ -305,18 +300,32 @@ def joined(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     groups = common.stored(common.components(links.unionAll(more)), "jaccard-components") if not more.isEmpty() else groups
     named = classes.select("node", "n", "h1", "h2", "min_doc").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("min_doc").alias("component_id"))
-    label = named.join(names, "component").select("n", "h1", "h2", "component_id")
+    label = named.join(names, "component").select("n", "h1", "h2", "component", "component_id")
     out = rows.select("doc_id", "n", "h1", "h2").join(label, ["n", "h1", "h2"], "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "h1", "h2")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "h1", "h2", "component")
+
+
+def joined(documents: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row for each of ``documents`` (doc_id, text): doc_id, n_shingles, component_id, h1, h2 (digests of its set).
+
+    ``component_id`` is the smallest doc_id reachable by links. Null, empty and wordless texts have no shingles and
+    link with nothing: their component is their own doc_id. Repeated rows are equal sets, so one class; rows of one
+    doc_id with different texts are judged each by its text. Null doc_ids are nodes as well; a component of such only
+    has a null id. Other columns are ignored; an empty table gives no rows.
+    """
+    return linked(documents, words, percent).drop("component")
 
 
 def deduplicated(documents: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component of ``joined`` stays, that of the smallest doc_id; all columns are kept.
 
-    Texts without words stay. Of repeated rows of one doc_id with the same set, one stays.
+    Null ids and ids that stand on unlinked texts name no component, so each of those keeps a document of its own; a
+    null id comes last in its component. Texts without words stay. Of repeated rows of one doc_id with the same set,
+    one stays; without words and id, all do.
     """
-    found = joined(documents, words, percent)
-    first = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "h1", "h2")).alias("m")).select("m.*")
+    found = linked(documents, words, percent)
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h1", "h2")
+    first = found.where("n_shingles > 0").groupBy("component").agg(F.min(order).alias("m")).select("m.doc_id", "m.h1", "m.h2")
     # texts without words have digests of 0: each is its own component
     own = found.where("n_shingles = 0").select("doc_id", "h1", "h2")
     stay = first.unionAll(own).distinct().select(F.col("doc_id").alias("_d"), F.col("h1").alias("_a"), F.col("h2").alias("_b"))
@@ -335,9 +344,10 @@ def deduplicated(documents: DataFrame, words: int = 5, percent: int = 80) -> Dat
             more = [pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (a, b)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "_h1", "_h2"])
 
-    rows = documents.mapInArrow(run, schema)
+    unnamed = F.col("doc_id").isNull() & (F.col("_h1") == 0) & (F.col("_h2") == 0)
+    rows = documents.mapInArrow(run, schema).withColumn("_u", F.when(unnamed, F.monotonically_increasing_id()))
     kept = rows.join(stay, rows["doc_id"].cast("long").eqNullSafe(stay["_d"]) & (rows["_h1"] == stay["_a"]) & (rows["_h2"] == stay["_b"]))
-    return kept.dropDuplicates(["_d", "_a", "_b"]).select(*(rows[c] for c in documents.columns))
+    return kept.dropDuplicates(["_d", "_a", "_b", "_u"]).select(*(rows[c] for c in documents.columns))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

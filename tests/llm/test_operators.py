@@ -301,6 +301,14 @@ def test_jaccard_join(spark, docs, none, rows):
     assert set(left) - {None} == want and max(left.values()) == 1
 
 
+def test_deduplicated_keeps_unlinked_texts_of_null_and_repeated_ids(spark):
+    text = lambda k: " ".join(f"v{k}x{j}" for j in range(30))
+    docs = [(None, text(k)) for k in range(5)] + [(None, text(0)), (7, text(10)), (7, text(11)), (7, text(11)), (8, text(4)), (9, text(11) + " end"), (None, None), (None, ""), (10, "")]
+    out = jaccard_join.deduplicated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    want = [(None, text(k)) for k in range(4)] + [(7, text(10)), (7, text(11)), (8, text(4)), (None, None), (None, ""), (10, "")]
+    assert Counter(map(tuple, out.collect())) == Counter(want)
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
