@@ -1,8 +1,16 @@
-"""Benchmark decontamination: rare n-grams of test items seed a join with training passages, which Smith-Waterman
-alignment then scores, so edited copies are found as well."""
+"""Benchmark decontamination: word pairs of test items seed a join with training passages, which Smith-Waterman
+alignment then scores, so edited copies are found as well.
+
+The seeds miss no passage from the threshold up. An alignment of m of an item's n words with e edits scores 2m - e, so
+from a share t of 2n up m >= t n and e <= 2m - 2tn. Its matches stand in at most e + 1 runs, so it keeps at least
+m - e - 1 >= (2t - 1) n - 1 word pairs, within a span of n + 2(1 - t) n words. Where that is no pair (short items, low
+thresholds), single words are the seeds, of which it keeps t n.
+"""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +18,9 @@ from pyspark.sql import functions as F
 
 from . import common, textblocks
 
-SEED, BLOCK_CHARS = 3, 16 << 20
+BLOCK_CHARS = 16 << 20
+#: Seeds are paired with items for about so many pairs at a time (a text with more is done alone).
+PAIRS = 1 << 20
 #: Word characters: letters and digits after lower-casing, and all of UTF-8 beyond ASCII.
 BREAKS = ~np.isin(np.arange(256), [*range(48, 58), *range(97, 123), *range(128, 256)])
 
@@ -40,24 +50,35 @@ def align(item: np.ndarray, passage: np.ndarray, match: int = 2, mismatch: int =
     return best, end
 
 
+def ceiling(x: float) -> int:
+    return math.ceil(x - 1e-9)
+
+
 class Items:
     """A block of test items: word hashes, and their distinct grams, sorted, with the items and places that have them."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], threshold: float):
         self.ids = [r[0] for r in rows]
+        self.threshold = threshold
         w = word_block([r[1] or "" for r in rows])
         self.words = [w.hash[w.first[k] : w.first[k + 1]] for k in range(len(rows))]
-        # an item shorter than a seed is one gram of all its words
-        self.sizes = tuple(sorted({min(SEED, len(x)) for x in self.words if len(x)})) or (SEED,)
-        found: dict[int, list[tuple[int, int]]] = {}
-        for k, x in enumerate(self.words):
-            n = min(SEED, len(x))
-            if n:
-                h, at = textblocks.shingles(textblocks.Words(np.zeros(len(x), int), x, x, x, x, x), n)
-                for g, place in zip(h.tolist(), at.tolist(), strict=True):
-                    found.setdefault(g, []).append((k, place))
-        self.grams = np.array(sorted(found), dtype=np.uint64)
-        self.places = [found[g] for g in self.grams.tolist()]
+        n = np.diff(w.first)
+        pairs = [ceiling((2 * threshold - 1) * x - 1) for x in n.tolist()]
+        single = np.array([p < 1 for p in pairs], bool)
+        #: how many seeds an alignment keeps at least, in a span of how many words
+        self.need = np.array([max(1, ceiling(threshold * x)) if p < 1 else p for p, x in zip(pairs, n.tolist(), strict=True)], np.int64)
+        self.slack = np.array([max(0, int(2 * (1 - threshold) * x + 1e-9)) for x in n.tolist()], np.int64)
+        self.span = n + self.slack
+        self.sizes = tuple(size for size, some in ((1, single), (2, ~single)) if (some & (n > 0)).any()) or (2,)
+        found = []
+        for size in self.sizes:
+            h, at = textblocks.shingles(w, size)
+            keep = single[w.doc[at]] == (size == 1)
+            found.append((h[keep], w.doc[at[keep]], at[keep] - w.first[w.doc[at[keep]]]))
+        h, item, inside = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(h, kind="stable")
+        self.grams, first = np.unique(h[order], return_index=True)
+        self.first, self.item, self.inside = np.append(first, len(h)), item[order], inside[order]
 
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indices of the entries of ``h`` that are grams, and which."""
@@ -67,57 +88,63 @@ class Items:
         hit = np.flatnonzero(self.grams[at] == h)
         return hit, at[hit]
 
-    def seeds(self, counts: np.ndarray) -> list[list[tuple[int, int]]]:
-        """``places`` of the rarer half of each item's grams (ties: the lower hash), all of them for up to four."""
-        own: dict[int, set[int]] = {}
-        for g, places in enumerate(self.places):
-            for k, _ in places:
-                own.setdefault(k, set()).add(g)
-        rare = {k: set(sorted(gs, key=lambda g: (counts[g], g))[: max(4, -(-len(gs) // 2))]) for k, gs in own.items()}
-        return [[(k, p) for k, p in places if g in rare[k]] for g, places in enumerate(self.places)]
-
-
-def frequencies(texts: DataFrame, items: Items) -> np.ndarray:
-    """Documents that hold each gram of ``items``, over all documents. One row a gram reaches the driver."""
-    schema = pa.schema([("g", pa.int32()), ("n", pa.int64())])
-
-    def run(batches):
-        counts = np.zeros(len(items.grams), np.int64)
-        for batch in batches:
-            for _, part in common.grouped(enumerate(common.values(batch.column("text")))):
-                w = word_block(part)
-                h, at = grams(w, items.sizes)
-                hit, g = items.look(h)
-                each = np.unique(w.doc[at[hit]] * len(items.grams) + g)
-                counts += np.bincount(each % max(1, len(items.grams)), minlength=len(items.grams))
-        some = np.flatnonzero(counts)
-        yield common.table({"g": some, "n": counts[some]}, schema)
-
-    out = np.zeros(len(items.grams), np.int64)
-    for g, n in texts.mapInArrow(run, "g int, n long").groupBy("g").agg(F.sum("n")).collect():
-        out[g] = n
-    return out
+    def seeded(self, place: np.ndarray, gram: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(document, item, start) of the grams at ``place`` that stand where an item has enough of them in its span."""
+        many = np.diff(self.first)[gram]
+        item, inside = (x[np.repeat(self.first[gram] - np.cumsum(many) + many, many) + np.arange(many.sum())] for x in (self.item, self.inside))
+        place, doc = np.repeat(place, many), np.repeat(doc, many)
+        order = np.lexsort((place, item, doc))
+        place, doc, item, inside = place[order], doc[order], item[order], inside[order]
+        # an item's gram may stand at several of its places: one place of the text counts once
+        new = np.ones(len(place), bool)
+        new[1:] = (place[1:] != place[:-1]) | (item[1:] != item[:-1])
+        at = np.flatnonzero(new)
+        p, d, k = place[at], doc[at], item[at]
+        need = self.need[k] - 1
+        last = np.minimum(np.arange(len(at)) + need, len(at) - 1)
+        dense = (np.arange(len(at)) + need < len(at)) & (d[last] == d) & (k[last] == k) & (p[last] - p < self.span[k])
+        # places from a dense one to its last
+        cover = np.zeros(len(at) + 1, np.int64)
+        np.add.at(cover, np.flatnonzero(dense), 1)
+        np.add.at(cover, last[dense] + 1, -1)
+        stay = (np.cumsum(cover[:-1]) > 0)[np.cumsum(new) - 1]
+        return doc[stay], item[stay], (place - inside)[stay]
 
 
 HITS = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("n_seeds", pa.int64()), ("start_word", pa.int64()), ("end_word", pa.int64())])
 
 
-def hits(texts: list[str], items: Items, seeds: list[list[tuple[int, int]]], threshold: float):
+def hits(texts: list[str], items: Items):
     """(text position, item position, share of the full score, seeds, first and last word) of texts that align with items."""
     w = word_block(texts)
     h, first = grams(w, items.sizes)
     hit, g = items.look(h)
+    place = first[hit]
+    order = np.argsort(place, kind="stable")
+    place, g = place[order], g[order]
+    doc = w.doc[place]
     near: dict[tuple[int, int], list[int]] = {}
-    for place, gram in zip(first[hit].tolist(), g.tolist(), strict=True):
-        for item, inside in seeds[gram]:
-            near.setdefault((int(w.doc[place]), item), []).append(place - inside)
+    # whole texts, about PAIRS pairs at a time
+    sums = np.cumsum(np.diff(items.first)[g])
+    begin = 0
+    while begin < len(g):
+        end = int(np.searchsorted(sums, (sums[begin - 1] if begin else 0) + PAIRS, side="right"))
+        if end < len(g):
+            end = int(np.searchsorted(doc, doc[end], side="left"))
+        if end <= begin:
+            end = int(np.searchsorted(doc, doc[begin], side="right"))
+        for d, k, start in zip(*(x.tolist() for x in items.seeded(place[begin:end], g[begin:end], doc[begin:end])), strict=True):
+            near.setdefault((d, k), []).append(start)
+        begin = end
     for (doc, item), starts in near.items():
         words = items.words[item]
-        lo, hi, slack, best = int(w.first[doc]), int(w.first[doc + 1]), len(words) // 2 + 2, (0, 0)
+        lo, hi, slack, best = int(w.first[doc]), int(w.first[doc + 1]), int(items.slack[item]) + 1, (0, 0)
         # passages: windows about the seeds, joined where they overlap
         passages: list[list[int]] = []
         for s in sorted(set(starts)):
             a, b = max(lo, s - slack), min(hi, s + len(words) + slack)
+            if a >= b:
+                continue
             if passages and a <= passages[-1][1]:
                 passages[-1][1] = b
             else:
@@ -126,19 +153,18 @@ def hits(texts: list[str], items: Items, seeds: list[list[tuple[int, int]]], thr
             score, end = align(words, w.hash[a:b])
             if score > best[0]:
                 best = (score, a + end)
-        if best[0] >= threshold * 2 * len(words):
+        if best[0] >= items.threshold * 2 * len(words):
             yield doc, item, best[0] / (2 * len(words)), len(starts), max(lo, best[1] - len(words)) - lo, best[1] - lo
 
 
-def scan(rows: DataFrame, items: Items, threshold: float) -> DataFrame:
+def scan(rows: DataFrame, items: Items) -> DataFrame:
     """One row for each row of ``rows`` (doc_id, text) and item that align."""
-    seeds = items.seeds(frequencies(rows.select("text"), items))
 
     def run(batches):
         for batch in batches:
             keys, out = batch.column("doc_id").to_pylist(), {n: [] for n in HITS.names}
             for at, part in common.grouped(enumerate(common.values(batch.column("text")))):
-                for doc, item, *rest in hits(part, items, seeds, threshold):
+                for doc, item, *rest in hits(part, items):
                     for n, v in zip(HITS.names, (keys[at[doc]], items.ids[item], *rest), strict=True):
                         out[n].append(v)
             yield common.table(out, HITS)
@@ -146,12 +172,12 @@ def scan(rows: DataFrame, items: Items, threshold: float) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, item_id long, score double, n_seeds long, start_word long, end_word long")
 
 
-def item_blocks(benchmark: DataFrame):
+def item_blocks(benchmark: DataFrame, threshold: float):
     """The items, in blocks of about BLOCK_CHARS characters by hash."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     blocks = -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS) or 1
     for k in range(blocks):
-        yield Items([(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()])
+        yield Items([(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()], threshold)
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.6) -> DataFrame:
@@ -165,8 +191,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
-    for items in item_blocks(benchmark):
-        found = scan(rows, items, threshold)
+    for items in item_blocks(benchmark, threshold):
+        found = scan(rows, items)
         out = found if out is None else out.unionAll(found)
     return out
 
@@ -174,14 +200,13 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
 def decontaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.6) -> DataFrame:
     """``documents`` without those that ``contaminated`` finds, all columns kept; rows are judged in the scan, unshuffled."""
     out = documents
-    for items in item_blocks(benchmark):
-        seeds = items.seeds(frequencies(documents.select("text"), items))
+    for items in item_blocks(benchmark, threshold):
 
-        def run(batches, items=items, seeds=seeds):
+        def run(batches, items=items):
             for batch in batches:
                 stay = np.ones(batch.num_rows, bool)
                 for at, part in common.grouped(enumerate(common.values(batch.column("text")))):
-                    for doc, *_ in hits(part, items, seeds, threshold):
+                    for doc, *_ in hits(part, items):
                         stay[at[doc]] = False
                 yield batch.filter(pa.array(stay))
 

@@ -164,6 +164,31 @@ def test_decontaminate(spark, docs, none):
     assert decontaminate.contaminated(none, bench).count() == 0 and decontaminate.contaminated(every, bench.limit(0)).count() == 0
 
 
+def test_edited_copies_score_as_full_alignment_does():
+    rng = random.Random(12)
+    vocab = [f"d{k}" for k in range(400)]
+    items, texts = [], []
+    for k in range(90):
+        n = (40, 25, 12, 5, 3, 1)[k % 6]
+        item = [rng.choice(vocab) for _ in range(n)]
+        every, how = rng.choice([2, 3, 4, 5, 6]), k % 4
+        copy = []
+        for j, x in enumerate(item):
+            hit = j % every == every - 1
+            copy += [[f"new{j}"], [x, f"new{j}"], [], [x]][how] if hit else [x]
+        items.append((k, " ".join(item)))
+        texts.append(" ".join([rng.choice(vocab) for _ in range(rng.randint(0, 60))] + copy + [rng.choice(vocab) for _ in range(rng.randint(0, 60))]))
+    block = decontaminate.Items(items, 0.6)
+    got = {(d, k): score for d, k, score, *_ in decontaminate.hits(texts, block)}
+    whole, want = decontaminate.word_block(texts), {}
+    for d in range(len(texts)):
+        for k, x in enumerate(block.words):
+            share = decontaminate.align(x, whole.hash[whole.first[d] : whole.first[d + 1]])[0] / (2 * len(x))
+            if share >= 0.6:
+                want[(d, k)] = share
+    assert got == want and sum(0.6 <= v < 0.8 for v in want.values()) > 20
+
+
 def test_alignment_scores():
     def slow(a, b):
         h, best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)], 0
