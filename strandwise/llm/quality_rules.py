@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 WHITE, SYMBOLS, SPLIT = "\t\n\x0b\x0c\r", "#*$%&|<>", r"[\x20\x09-\x0D]+"
 #: Phrases of page furniture, looked for in lower case.
 BOILERPLATE = (
-    "cookie", "javascript", "all rights reserved", "copyright", "terms of use", "terms of service", "privacy policy", "sign in", "sign up", "log in ", "login",
+    "cookie", "javascript", "all rights reserved", "copyright", "terms of use", "terms of service", "privacy policy",
     "subscribe", "newsletter", "click here", "read more", "share this", "share on", "lorem ipsum", "released under the",
 )
+#: Phrases that end with a word's end.
+BORDERED = r"sign (in|up)\b|log ?in\b"
 ENDS = r"[.!?…:;。！？][\"'”’»)\]]*$"
 
 
@@ -64,8 +66,11 @@ def line_passes(line: Column, min_words: int = 3) -> Column:
         furniture = F.lit(False)
         for phrase in BOILERPLATE:
             furniture = furniture | low.contains(phrase)
+        furniture = furniture | ((low.contains("sign ") | low.contains("log")) & low.rlike(BORDERED))
+        capitals = F.length(F.regexp_replace(flat, r"\P{Lu}+", ""))
+        small = F.length(F.regexp_replace(flat, r"\P{Ll}+", ""))
         varied = _given(F.split(flat, SPLIT), lambda w: (F.size(w) >= min_words) & (F.size(F.array_distinct(w)) * 4 >= F.size(w)))
-        return flat.rlike(ENDS) & ((F.upper(flat) != flat) | (low == flat)) & (symbols * 20 <= F.length(flat)) & ~furniture & varied
+        return flat.rlike(ENDS) & (symbols * 20 <= F.length(flat)) & ~furniture & varied & (capitals <= small)
 
     # each value is bound once, as nothing inside a lambda is shared otherwise
     return _given(F.btrim(line, F.lit(WHITE + " ")), lambda flat: _given(F.lower(flat), lambda low: judged(flat, low)))

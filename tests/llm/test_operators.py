@@ -258,6 +258,13 @@ def test_quality_rules_keep_lines_wherever_they_stand(spark):
         assert got[k].kept == (len(text.split()) >= 50 and 2 * sum(map(len, good)) >= sum(map(len, lines)))
 
 
+def test_quality_rules_count_capitals_and_end_phrases_at_words(spark):
+    good = ["one sign inside the house.", "the login5 of it.", "the logins were here.", "Ab ÉÀ éàz xy.", "one two 12 3.", "ΑΒΓ αβγ δ."]
+    bad = ["BUY NOW CHEAP PILLS today.", "please log in.", "please login.", "you may sign up, now.", "ΑΒΓΔ αβγ one ΖΗΘΙΚΛ.", "ALL IN CAPITALS."]
+    got = quality_rules.cleaned(spark.createDataFrame([(1, "\n".join(x for p in zip(good, bad, strict=True) for x in p))], "doc_id long, text string")).first()
+    assert got.clean_text.split("\n") == good
+
+
 def test_importance(spark, docs, none, rows):
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)] + [(None, 1, None)], "doc_id long, quality int, toxic int")
     got = importance.sampled(docs, labels, share=0.5).collect()
