@@ -24,8 +24,7 @@ def header_removed(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    flat = F.trim(F.regexp_replace(text, rf"{SPACE}+", " "))
-    return F.when(flat == "", F.lit(0)).otherwise(F.size(F.split(flat, " ")))
+    return F.regexp_count(text, F.lit(rf"[^{SPACE[1:-1]}]+"))
 
 
 def in_range(count: Column, low: int = 100, high: int = 150) -> Column:
@@ -61,8 +60,28 @@ def blank(column: Column) -> Column:
 
 
 def domains(text: Column) -> Column:
-    """Host-like strings of URLs and bare domains."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?:https?://)?(?:[A-Za-z0-9-]+\.)+[a-z]{2,}"), F.lit(0))
+    """URLs and hosts that open with www., with their paths."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?:https?://|www\.)[a-zA-Z0-9./_-]+"), F.lit(0))
+
+
+def leads_with(text: Column, start: str) -> Column:
+    """Whether the text begins with ``start`` after any white space."""
+    return F.coalesce(text, F.lit("")).rlike(rf"^{SPACE}*{re.escape(start)}")
+
+
+def identity_mismatch(label: Column, question: Column, prompt: Column) -> Column:
+    """The question does not say ``I am <label>.``, or the prompt does not hold the question."""
+    said = F.contains(question, F.concat(F.lit("I am "), label, F.lit(".")))
+    return ~(F.coalesce(said, F.lit(False)) & F.coalesce(F.contains(prompt, question), F.lit(False)))
+
+
+def row_hash(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def joined_evidence(evidence: dict[str, Column]) -> Column:
+    """What holds, in the order given, between spaced pipes."""
+    return joined_flags(evidence, " | ")
 
 
 def joined_flags(flags: dict[str, Column], separator: str = ";") -> Column:

@@ -21,11 +21,15 @@ def stratified_means(fact: DataFrame, strata: tuple[str, ...]) -> DataFrame:
     return out.select("a", "b", level.alias("level"), value.alias("value"), "mean_distance", "n")
 
 
+def company_pair_cells(fact: DataFrame, cell: str = "cell", *keep: str) -> DataFrame:
+    """(company_a, company_b, cell, keep, d, m): the mean over a company pair's stream pairs; names in alphabetical order."""
+    keyed = fact.select(F.least("company_a", "company_b").alias("company_a"), F.greatest("company_a", "company_b").alias("company_b"), cell, *keep, "distance")
+    return keyed.groupBy("company_a", "company_b", cell, *keep).agg(F.avg("distance").alias("d"), F.count("*").alias("m"))
+
+
 def company_pairs(fact: DataFrame, cell: str = "cell") -> DataFrame:
-    """Mean over cells of the mean over a company pair's stream pairs; names in alphabetical order."""
-    keyed = fact.select(F.least("company_a", "company_b").alias("company_a"), F.greatest("company_a", "company_b").alias("company_b"), cell, "distance")
-    each = keyed.groupBy("company_a", "company_b", cell).agg(F.avg("distance").alias("d"), F.count("*").alias("m"))
-    return each.groupBy("company_a", "company_b").agg(F.avg("d").alias("mean_distance"), F.max("m").alias("model_pairs"), F.count("*").alias("n_prompts"))
+    """Mean over cells of the mean over a company pair's stream pairs."""
+    return company_pair_cells(fact, cell).groupBy("company_a", "company_b").agg(F.avg("d").alias("mean_distance"), F.max("m").alias("model_pairs"), F.count("*").alias("n_prompts"))
 
 
 def contrast_by_cell(fact: DataFrame, cell: str = "cell", *keep: str) -> DataFrame:

@@ -11,7 +11,7 @@ from .bindings import BLOCKS_SQL, FACT_SQL, LABELS, OBS_SQL, TEXT_SQL, obs_text,
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-DRAWS, SEED = 200, resample.SEED
+DRAWS, SEED, TERMS = resample.DRAWS, resample.SEED, 50_000
 EXCLUDED = "cell % 7 = 3"
 
 
@@ -121,32 +121,63 @@ def pivot_matrix(spark, sf_dir):
 # resampling
 
 
-def _draws_sql(k: str) -> str:
-    return f"draws AS (SELECT draw, slot, ('0x' || substr(md5('{SEED}|' || draw || '|' || slot), 1, 8))::BIGINT % {k} AS ix FROM range({DRAWS}) d(draw), range({k}) s(slot))"
+def _ci_sql(rows: str, keys: str, cluster: str, top: str, bottom: str = "1") -> str:
+    """SQL of ``bootstrap``: the draws are made for each number of clusters that occurs."""
+    return f"""c AS (SELECT {keys}, {top} AS s, {bottom} AS n, row_number() OVER (PARTITION BY {keys} ORDER BY {cluster}) - 1 AS ix, count(*) OVER (PARTITION BY {keys}) AS k FROM {rows}),
+slots AS (SELECT k, unnest(range(k)) AS slot FROM (SELECT DISTINCT k FROM c)),
+draws AS (SELECT k, draw, slot, ('0x' || substr(md5('{SEED}|' || draw || '|' || slot), 1, 8))::BIGINT % k AS ix FROM slots, range({DRAWS}) d(draw)),
+t AS (SELECT {keys}, draw, sum(s) / sum(n) AS x FROM c JOIN draws USING (k, ix) GROUP BY ALL)"""
 
 
 _ci = "round(quantile_cont(x, 0.025), 6) AS ci_low, round(quantile_cont(x, 0.975), 6) AS ci_high"
 
 
-@query(f"WITH {FACT_SQL}, m AS (SELECT a, b, cluster AS ix, avg(distance) AS m FROM fact GROUP BY ALL), {_draws_sql('10')}, t AS (SELECT a, b, draw, avg(m) AS x FROM m JOIN draws USING (ix) GROUP BY ALL) SELECT a, b, {_ci} FROM t GROUP BY a, b")
+def _ci_columns(rows, *keys):
+    return rows.select(*keys, *_r("ci_low", "ci_high"))
+
+
+@query(f"WITH {FACT_SQL}, m AS (SELECT a, b, cluster, avg(distance) AS m FROM fact GROUP BY ALL), {_ci_sql('m', 'a, b', 'cluster', 'm')} SELECT a, b, {_ci} FROM t GROUP BY a, b")
 def boot_pair_ci(spark, sf_dir):
     means = agg.pair_means(_fact(spark, sf_dir), "cluster")
-    return resample.bootstrap(means, ["a", "b"], "cluster", F.col("mean_distance"), None, resample.draws(spark, [10], DRAWS)).select("a", "b", *_r("ci_low", "ci_high"))
+    return _ci_columns(resample.bootstrap(means, ["a", "b"], "cluster", F.col("mean_distance")), "a", "b")
 
 
-@query(f"WITH {FACT_SQL}, m AS (SELECT a, b, cluster AS ix, sum(distance) AS s, count(*) AS n FROM fact WHERE NOT ({EXCLUDED}) GROUP BY ALL), {_draws_sql('10')}, t AS (SELECT a, b, draw, sum(s) / sum(n) AS x FROM m JOIN draws USING (ix) GROUP BY ALL) SELECT a, b, {_ci} FROM t GROUP BY a, b")
+@query(f"WITH {FACT_SQL}, m AS (SELECT a, b, cluster, sum(distance) AS su, count(*) AS co FROM fact WHERE NOT ({EXCLUDED}) GROUP BY ALL), {_ci_sql('m', 'a, b', 'cluster', 'su', 'co')} SELECT a, b, {_ci} FROM t GROUP BY a, b")
 def boot_ratio_ci(spark, sf_dir):
     fact = _fact(spark, sf_dir).where(f"not ({EXCLUDED})")
     sums = fact.groupBy("a", "b", "cluster").agg(F.sum("distance").alias("s"), F.count("*").alias("n"))
-    return resample.bootstrap(sums, ["a", "b"], "cluster", F.col("s"), F.col("n"), resample.draws(spark, [10], DRAWS)).select("a", "b", *_r("ci_low", "ci_high"))
+    return _ci_columns(resample.bootstrap(sums, ["a", "b"], "cluster", F.col("s"), F.col("n")), "a", "b")
 
 
-@query(f"WITH {BLOCKS_SQL}, m AS (SELECT stream, dimension, article, family, avg(distance) AS m FROM blocks WHERE article < 2 GROUP BY ALL), c AS (SELECT *, row_number() OVER (PARTITION BY stream, dimension ORDER BY article, family) - 1 AS ix FROM m), {_draws_sql('10')}, t AS (SELECT stream, dimension, draw, avg(m) AS x FROM c JOIN draws USING (ix) GROUP BY ALL) SELECT stream, dimension, {_ci} FROM t GROUP BY ALL")
+@query(f"WITH {BLOCKS_SQL}, m AS (SELECT stream, dimension, article, family, avg(distance) AS m FROM blocks GROUP BY ALL), {_ci_sql('m', 'stream, dimension', 'article, family', 'm')} SELECT stream, dimension, {_ci} FROM t GROUP BY ALL")
 def boot_block_ci(spark, sf_dir):
-    # the SQL reads the first 100 cells only, which are all up to sf0.01
     means = agg.block_means(_blocks(spark, sf_dir)).withColumn("block", F.struct("article", "family"))
-    sizes = [r[0] for r in means.groupBy("stream", "dimension").agg(F.count("*").cast("int").alias("k")).select("k").distinct().orderBy("k").collect()]
-    return resample.bootstrap(means, ["stream", "dimension"], "block", F.col("d"), None, resample.draws(spark, sizes, DRAWS)).select("stream", "dimension", *_r("ci_low", "ci_high"))
+    return _ci_columns(resample.bootstrap(means, ["stream", "dimension"], "block", F.col("d")), "stream", "dimension")
+
+
+_company_cells = "cc AS (SELECT least(company_a, company_b) AS company_a, greatest(company_a, company_b) AS company_b, cell, cluster, avg(distance) AS d FROM fact GROUP BY ALL), m AS (SELECT company_a, company_b, cluster, avg(d) AS m FROM cc GROUP BY ALL)"
+
+
+@query(f"WITH {FACT_SQL}, {_company_cells}, {_ci_sql('m', 'company_a, company_b', 'cluster', 'm')} SELECT company_a, company_b, {_ci} FROM t GROUP BY ALL")
+def company_pair_ci(spark, sf_dir):
+    each = agg.company_pair_cells(_fact(spark, sf_dir), "cell", "cluster").groupBy("company_a", "company_b", "cluster").agg(F.avg("d").alias("m"))
+    return _ci_columns(resample.bootstrap(each, ["company_a", "company_b"], "cluster", F.col("m")), "company_a", "company_b")
+
+
+_contrast = "e AS (SELECT cell, cluster, avg(distance) FILTER (WHERE company_a <> company_b) - avg(distance) FILTER (WHERE company_a = company_b) AS d FROM fact{where} GROUP BY ALL), m AS (SELECT 'delta' AS name, cluster, {agg} FROM e GROUP BY ALL)"
+
+
+@query(f"WITH {FACT_SQL}, {_contrast.format(where='', agg='avg(d) AS m')}, {_ci_sql('m', 'name', 'cluster', 'm')} SELECT name, {_ci} FROM t GROUP BY ALL")
+def company_contrast_ci(spark, sf_dir):
+    each = agg.contrast_by_cell(_fact(spark, sf_dir), "cell", "cluster").groupBy(F.lit("delta").alias("name"), "cluster").agg(F.avg(F.col("between") - F.col("within")).alias("m"))
+    return _ci_columns(resample.bootstrap(each, ["name"], "cluster", F.col("m")), "name")
+
+
+@query(f"WITH {FACT_SQL}, {_contrast.format(where=f' WHERE NOT ({EXCLUDED})', agg='sum(d) AS su, count(d) AS co')}, {_ci_sql('m', 'name', 'cluster', 'su', 'co')} SELECT name, {_ci} FROM t GROUP BY ALL")
+def screened_contrast_ci(spark, sf_dir):
+    delta = F.col("between") - F.col("within")
+    each = agg.contrast_by_cell(_fact(spark, sf_dir).where(f"not ({EXCLUDED})"), "cell", "cluster").groupBy(F.lit("delta").alias("name"), "cluster").agg(F.sum(delta).alias("s"), F.count(delta).alias("n"))
+    return _ci_columns(resample.bootstrap(each, ["name"], "cluster", F.col("s"), F.col("n")), "name")
 
 
 def _rho_sql(source: str, x: str, y: str, by: str = "") -> str:
@@ -179,6 +210,14 @@ def encoder_agreement(spark, sf_dir):
     return resample.spearman(x.join(y, ["a", "b"]), "d1", "d2").select(*_r("rho"), "n")
 
 
+@query(f"WITH {OBS_SQL}, {_both_metrics} {_rho_sql('two', 'd1', 'd2')}")
+def encoder_agreement_cells(spark, sf_dir):
+    """The rank correlation of two metrics over all cells and pairs."""
+    x = _fact(spark, sf_dir).select("cell", "a", "b", F.col("distance").alias("d1"))
+    y = _fact(spark, sf_dir, 32).select("cell", "a", "b", F.col("distance").alias("d2"))
+    return resample.spearman_of_all(x.join(y, ["cell", "a", "b"]), "d1", "d2").select(*_r("rho"), "n")
+
+
 @query(f"WITH {FACT_SQL}, f AS (SELECT a, b, avg(distance) AS x FROM fact GROUP BY a, b), s AS (SELECT a, b, avg(distance) AS y FROM fact WHERE NOT ({EXCLUDED}) GROUP BY a, b), p AS (SELECT * FROM f JOIN s USING (a, b)), r AS ({_rho_sql('p', 'x', 'y')}) SELECT rho, (SELECT round(max(abs(x - y)), 6) FROM p) AS max_change, (SELECT round(avg(abs(x - y)), 6) FROM p) AS mean_change FROM r")
 def screen_stability(spark, sf_dir):
     fact = _fact(spark, sf_dir)
@@ -301,7 +340,7 @@ def value_counts(spark, sf_dir):
     return quality.value_counts(_read(spark, sf_dir, "events"), "event_type")
 
 
-_flag_sql = f"WITH f AS (SELECT doc_id, lang, list_filter([CASE WHEN {_words_sql} < 50 THEN 'short' END, CASE WHEN lang = 'en' AND contains(lower(text), ' une ') AND contains(lower(text), ' der ') THEN 'cross' END, CASE WHEN lang <> 'en' AND contains(lower(text), ' the ') THEN 'cross' END, CASE WHEN len(list_filter(regexp_extract_all(text, '(?:https?://)?(?:[A-Za-z0-9-]+\\.)+[a-z]{{2,}}'), lambda d: contains(d, 'example'))) > 0 THEN 'domain' END, CASE WHEN starts_with(ltrim(text), 'The') THEN 'header' END], lambda x: x IS NOT NULL) AS fl FROM documents)"
+_flag_sql = f"WITH f AS (SELECT doc_id, lang, list_filter([CASE WHEN {_words_sql} < 50 THEN 'short' END, CASE WHEN lang = 'en' AND contains(lower(text), ' une ') AND contains(lower(text), ' der ') THEN 'cross' END, CASE WHEN lang <> 'en' AND contains(lower(text), ' the ') THEN 'cross' END, CASE WHEN len(list_filter(regexp_extract_all(text, '(?:https?://|www\\.)[a-zA-Z0-9./_-]+'), lambda d: contains(d, 'example'))) > 0 THEN 'domain' END, CASE WHEN regexp_matches(text, '^\\s*The') THEN 'header' END], lambda x: x IS NOT NULL) AS fl FROM documents)"
 
 
 def _flags(rows):
@@ -310,7 +349,7 @@ def _flags(rows):
         "short": text.word_count(F.col("text")) < 50,
         "cross": ((F.col("lang") == "en") & low.contains(" une ") & low.contains(" der ")) | ((F.col("lang") != "en") & low.contains(" the ")),
         "domain": F.exists(text.domains(F.col("text")), lambda d: d.contains("example")),
-        "header": F.ltrim("text").startswith("The"),
+        "header": text.leads_with(F.col("text"), "The"),
     }
     return quality.flagged(rows, named, "doc_id", "lang")
 
@@ -331,7 +370,7 @@ def flags_attached(spark, sf_dir):
     return quality.attached_flags(_read(spark, sf_dir, "labels"), flags, ["doc_id"]).select("doc_id", "quality", F.array_join("flag_list", ";").alias("flag_list"))
 
 
-@query("WITH d AS (SELECT unnest(regexp_extract_all(url, '(?:https?://)?(?:[A-Za-z0-9-]+\\.)+[a-z]{2,}')) AS domain FROM pages) SELECT domain, count(*) AS n FROM d GROUP BY domain")
+@query("WITH d AS (SELECT unnest(regexp_extract_all(url, '(?:https?://|www\\.)[a-zA-Z0-9./_-]+')) AS domain FROM pages) SELECT domain, count(*) AS n FROM d GROUP BY domain")
 def domains(spark, sf_dir):
     return quality.value_counts(_read(spark, sf_dir, "pages").select(F.explode(text.domains(F.col("url"))).alias("domain")), "domain")
 
@@ -372,12 +411,12 @@ def included_labels(spark, sf_dir):
 
 # representations
 
-_terms_sql = "tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS w FROM documents), term AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM tok), tf AS (SELECT doc_id, term, count(*) AS tf FROM term GROUP BY ALL), vocab AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY cf DESC, term LIMIT 500)"
+_terms_sql = "tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS w FROM documents), term AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM tok), tf AS (SELECT doc_id, term, count(*) AS tf FROM term GROUP BY ALL), vocab AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY cf DESC, term LIMIT 50000)"
 
 
 @query(f"WITH {_terms_sql} SELECT * FROM vocab")
 def tfidf_vocab(spark, sf_dir):
-    return represent.vocabulary(represent.term_counts(_read(spark, sf_dir, "documents"), "doc_id", "text"), 500)
+    return represent.vocabulary(represent.term_counts(_read(spark, sf_dir, "documents"), "doc_id", "text"), TERMS)
 
 
 @query(
@@ -386,7 +425,7 @@ def tfidf_vocab(spark, sf_dir):
 def tfidf_pair_distance(spark, sf_dir):
     rows = obs_text(spark, sf_dir)
     counts = represent.term_counts(rows, "doc_id", "text")
-    w = represent.weights(counts, represent.vocabulary(counts, 500), "doc_id", rows.count())
+    w = represent.weights(counts, represent.vocabulary(counts, TERMS), "doc_id", rows.agg(F.count("*")))
     keyed = rows.select("cell", "cluster", "dimension", "family", "article", "stream", F.lit("A").alias("company"), "doc_id")
     spine = design.matched_pairs(keyed, keep=("doc_id",)).select("a", "b", F.col("doc_id_a").alias("row_a"), F.col("doc_id_b").alias("row_b"))
     return agg.pair_means(represent.sparse_distances(spine, w, "doc_id")).select("a", "b", *_r("mean_distance"), "n")

@@ -54,12 +54,18 @@ def test_cases_and_screening(spark, fact):
 
 
 def test_bootstraps_agree_when_balanced(spark, fact):
-    table = resample.draws(spark, [2], 50)
     m = aggregate.pair_means(fact, "cluster")
-    a = resample.bootstrap(m, ["a", "b"], "cluster", F.col("mean_distance"), None, table)
-    b = resample.bootstrap(m, ["a", "b"], "cluster", F.col("mean_distance") * F.col("n"), F.col("n"), table)
+    a = resample.bootstrap(m, ["a", "b"], "cluster", F.col("mean_distance"), n=50)
+    b = resample.bootstrap(m, ["a", "b"], "cluster", F.col("mean_distance") * F.col("n"), F.col("n"), n=50)
     assert [[round(x, 9) for x in r] for r in a.sort("a", "b").collect()] == [[round(x, 9) for x in r] for r in b.sort("a", "b").collect()]
-    assert resample.draws(spark, [3], 5, mode="numpy").count() == 5
+    assert resample.bootstrap(m, ["a", "b"], "cluster", F.col("mean_distance"), n=50, mode="numpy").count() == 3
+
+
+def test_bootstrap_keeps_keys_of_any_number_of_clusters(spark):
+    rows = spark.createDataFrame([(k, c, float(c * c)) for k in range(1, 6) for c in range(k)], "k int, c int, x double")
+    for mode in ("md5", "numpy"):
+        got = {r.k: (r.ci_low, r.ci_high) for r in resample.bootstrap(rows, ["k"], "c", F.col("x"), n=40, mode=mode).collect()}
+        assert set(got) == {1, 2, 3, 4, 5} and got[1] == (0.0, 0.0) and all(0 <= a <= b <= 16 for a, b in got.values())
 
 
 def test_spearman(spark):
