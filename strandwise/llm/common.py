@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +16,14 @@ BLOCK_BYTES = 1 << 18
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; only where it is unset, a folder under the warehouse."""
+    """The folder all executors share: spark.checkpoint.dir; a folder under the warehouse where it is unset on one machine.
+
+    On a cluster an unset folder is an error, as a folder of one machine would lose tables with it.
+    """
     found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -27,15 +34,35 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strandwise-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._strandwise_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of ``stored`` tables that no later table or result reads."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._strandwise_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def released() -> None:
+    """Give freed memory of this Python worker back to the system: it stays alive between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
 
+def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` whose tasks give their memory back when they end."""
 
-def released(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished jobs whose DataFrames are gone."""
-    import gc
+    def task(batches):
+        yield from run(batches)
+        released()
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    return df.mapInArrow(task, schema)
 
 
 def grouped(values: Iterable[tuple[int, str | None]], limit: int = BLOCK_BYTES) -> Iterator[tuple[list[int], list[str]]]:
@@ -65,6 +92,28 @@ def table(batch: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(batch[f.name], type=f.type) for f in schema], schema=schema)
 
 
+def bit_filter(keys: DataFrame, most: int = 1 << 28) -> np.ndarray:
+    """Bits, set at the longs of column ``k`` modulo their number; false hits are possible, misses are not.
+
+    There are 16 bits or more for each row of ``keys``, up to ``most`` (32 MB), which bounds what the driver gets and
+    the tasks are sent; beyond, a filter only lets more through.
+    """
+    size = 1 << 16
+    n = keys.count()
+    while size < min(most, 16 * n):
+        size *= 4
+    each = keys.select(F.expr(f"cast(pmod(k, {size}L) div 64 as int)").alias("w"), F.expr("shiftleft(1L, cast(pmod(k, 64L) as int))").alias("b"))
+    found = each.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(size // 64, np.int64)
+    bits[found.column("w").to_numpy()] = found.column("b").to_numpy()
+    return bits
+
+
+def passes(bits: np.ndarray, k: np.ndarray) -> np.ndarray:
+    spot = k.view(np.int64) & (64 * len(bits) - 1)
+    return (bits[spot >> 6] >> (spot & 63) & 1).astype(bool)
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``links`` (a long, b long): rows (node, component), component the smallest node reached.
 
@@ -82,6 +131,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         after = stored(small, "links")
         n, same = after.count(), after.join(edges, ["u", "v"], "left_semi").count()
         done = n == same == edges.count()
+        dropped(edges)
         edges = after
         if done:
             break

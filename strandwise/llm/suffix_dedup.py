@@ -4,16 +4,21 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts elsewhere
 not needed: each window of LENGTH bytes has one anchor, the least hashed ``GRAM``-byte string in it, so equal windows
 have equal anchors at equal places. Windows next to each other with one anchor are a span.
 
-1. Anchors that stand once are unique and drop out. Anchors whose spans are all equal repeat as a whole.
+1. Anchors that stand once are unique and drop out. Anchors whose spans are all equal, by a 128-bit BLAKE2 digest of
+   their bytes, repeat as a whole.
 2. The spans of the other anchors (about edits and passage ends) are suffix-sorted, anchor by anchor: a stable sort of
    the first bytes, then a mergesort whose comparisons find the common extension of two suffixes by binary search on
    prefix polynomial hashes. Neighbours that agree on LENGTH bytes by hash are compared byte by byte.
-3. An anchor with very many different spans is not gathered: its windows are counted by hash in a grouped sum.
+3. A hot anchor (a passage in very many different surroundings) would put all its spans in one task. Its spans are
+   divided further, by anchors as long as a window: each window is then its own span, and windows are told apart by
+   128-bit digests as in step 1, in a grouped sum that no key makes large. Both ways are exact, so the number of spans
+   from which on an anchor is divided changes no result.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,20 +28,23 @@ from pyspark.sql import functions as F
 from . import common, textblocks
 
 LENGTH, GRAM = 400, 160
-#: Bits of the filter that spares anchors of unique text the shuffle (a fixed size; false hits only ship more), and the
-#: number of different spans from which on an anchor's windows are counted instead of sorted together.
-FILTER_BITS, MANY = 1 << 25, 2000
+#: The number of different spans from which on an anchor is divided, bytes of the spans that are sorted at a time, and
+#: bytes of a text that are read at a time.
+MANY, SORTED, PIECE = 2000, 1 << 20, 1 << 18
+#: The low bits of a key in ``spans`` hold a place in the block, the others the gram's hash.
 _PLACE = np.uint64((1 << 28) - 1)
 
 
 def spans(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
-    """(doc, start, windows, anchor hash, span hash, bytes of the block, start in it) of all spans of the texts."""
+    """(doc, start, windows, anchor hash, anchor's place in the span, bytes of the block, start in it) of all spans."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     offset = np.concatenate([[0], np.cumsum(sizes)])
     data = np.frombuffer(b"".join(texts), np.uint8)
     n, width = len(data), length - gram + 1
+    if n > int(_PLACE):
+        raise ValueError("a block of texts must be shorter than 2**28 bytes")
     if n < length:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2 + (data, np.zeros(0, np.int64))
+        return (*(np.zeros(0, np.int64),) * 3, np.zeros(0, np.uint64), np.zeros(0, np.int64), data, np.zeros(0, np.int64))
     prefix = textblocks.prefix_hashes(data)
     at = np.arange(n - gram + 1)
     grams = textblocks.span_hashes(prefix, at, at + gram)
@@ -64,46 +72,57 @@ def spans(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
     keep = valid[begin]
     begin, count = begin[keep], count[keep]
     anchor = place[begin]
-    whole = textblocks.span_hashes(prefix, begin, begin + count + length - 1)
-    whole = textblocks.mixed(whole + (anchor - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + count.astype(np.uint64))
     doc = np.searchsorted(offset, begin, side="right") - 1
-    return doc, begin - offset[doc], count, grams[anchor], whole, data, begin
+    return doc, begin - offset[doc], count, grams[anchor], anchor - begin, data, begin
 
 
-def _raw(texts):
-    return [t.encode("utf-8", "surrogatepass") for t in texts]
+def digests(raws: Iterable[bytes], salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits, as two longs, of each byte string and its number in ``salt``."""
+    found = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in raws]), np.uint64).reshape(-1, 2)
+    more = salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return textblocks.mixed(found[:, 0] + more).view(np.int64), textblocks.mixed(found[:, 1] ^ more).view(np.int64)
 
 
-def _blocks(batches):
+def blocks(batches) -> Iterator[tuple[list[bytes], list[int], list[tuple[int, int]]]]:
+    """Bounded lists of texts: their bytes, and of each piece its text in the list and its first byte there.
+
+    A text longer than PIECE is read in pieces that share LENGTH - 1 bytes, so each window lies in one piece. A span
+    that is cut so is two spans of one anchor, which changes no window's verdict.
+    """
     for batch in batches:
-        for at, texts in common.grouped(enumerate(common.values(batch.column("text")))):
-            yield batch, at, _raw(texts)
+        for _, texts in common.grouped(enumerate(common.values(batch.column("text")))):
+            raws = [t.encode("utf-8", "surrogatepass") for t in texts]
+            yield raws, [(k, a) for k, raw in enumerate(raws) for a in range(0, max(1, len(raw) - LENGTH + 1), PIECE)]
 
 
-def anchors(texts: DataFrame) -> DataFrame:
-    """(k, s) of all spans: hashes of the anchor and of the span."""
-    schema = pa.schema([("k", pa.int64()), ("s", pa.int64())])
+def pieces(raws: list[bytes], places: list[tuple[int, int]]) -> Iterator[tuple[list[tuple[int, int]], tuple]]:
+    """``spans`` of the pieces, a bounded number of bytes at a time, with the pieces' places."""
+    now, size = [], 0
+    for k, a in places:
+        n = min(len(raws[k]) - a, PIECE + LENGTH - 1)
+        if now and size + n > 2 * PIECE:
+            yield now, spans([raws[k][a : a + PIECE + LENGTH - 1] for k, a in now])
+            now, size = [], 0
+        now.append((k, a))
+        size += n
+    yield now, spans([raws[k][a : a + PIECE + LENGTH - 1] for k, a in now])
 
-    def run(batches):
-        for _, _, part in _blocks(batches):
-            _, _, _, k, s, *_ = spans(part)
-            yield common.table({"k": k.view(np.int64), "s": s.view(np.int64)}, schema)
 
-    return texts.mapInArrow(run, "k long, s long")
+def cut(data: np.ndarray, begin: np.ndarray, count: np.ndarray) -> list[bytes]:
+    return [data[a : a + n + LENGTH - 1].tobytes() for a, n in zip(begin.tolist(), count.tolist(), strict=True)]
 
 
-def bit_filter(keys: DataFrame) -> np.ndarray:
-    """FILTER_BITS bits, set for the longs in column ``k``; at most FILTER_BITS / 64 rows reach the driver."""
-    spot = keys.select(F.col("k").bitwiseAND(F.lit(FILTER_BITS - 1)).alias("spot")).select(F.expr("cast(spot div 64 as int)").alias("w"), F.expr("shiftleft(1L, cast(spot % 64 as int))").alias("b"))
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    for w, b in spot.groupBy("w").agg(F.bit_or("b")).collect():
-        bits[w] = b
-    return bits
+def anchors(texts: DataFrame) -> DataFrame:
+    """(k, s1, s2) of all spans: hash of the anchor and digest of the span."""
+    schema = pa.schema([("k", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
 
+    def run(batches):
+        for raws, places in blocks(batches):
+            for _, (_, _, count, k, inside, data, begin) in pieces(raws, places):
+                s1, s2 = digests(cut(data, begin, count), inside)
+                yield common.table({"k": k.view(np.int64), "s1": s1, "s2": s2}, schema)
 
-def passes(bits: np.ndarray, k: np.ndarray) -> np.ndarray:
-    spot = k.view(np.int64) & (FILTER_BITS - 1)
-    return (bits[spot >> 6] >> (spot & 63) & 1).astype(bool)
+    return common.arrow(texts, run, "k long, s1 long, s2 long")
 
 
 class Suffixes:
@@ -208,93 +227,108 @@ def _runs(flag: np.ndarray) -> list[dict]:
     return [{"a": int(a), "b": int(b)} for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-JUDGED = pa.schema([("k", pa.int64()), ("s", pa.int64()), ("runs", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
-_JUDGED = "k long, s long, runs array<struct<a:int,b:int>>"
+JUDGED = pa.schema([("k", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("runs", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
+_RUNS = "array<struct<a:int,b:int>>"
+_JUDGED = f"k long, s1 long, s2 long, runs {_RUNS}"
 
 
-def judged(texts: DataFrame) -> DataFrame:
-    """Stored (k, s, runs) of all spans with repeated windows: runs of windows, counted from the span's start.
+def judged(texts: DataFrame, many: int | None = None) -> DataFrame:
+    """Stored (k, s1, s2, runs) of all spans with repeated windows: runs of windows, counted from the span's start.
 
-    ``s`` is null for anchors whose spans are all equal: their windows all repeat, and ``runs`` is null.
+    The digest is null for anchors whose spans are all equal: their windows all repeat, and ``runs`` is null.
     """
+    many = MANY if many is None else many
     spark = texts.sparkSession
-    groups = anchors(texts).groupBy("k").agg(F.count("*").alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi")).where("n > 1")
-    groups = common.stored(groups.select("k", (F.col("lo") != F.col("hi")).alias("mixed")), "suffix-groups")
-    same = groups.where("not mixed").select("k", F.lit(None).cast("long").alias("s"), F.lit(None).cast("array<struct<a:int,b:int>>").alias("runs"))
-    bits = spark.sparkContext.broadcast(bit_filter(groups.where("mixed").select("k")))
-    schema = pa.schema([("k", pa.int64()), ("s", pa.int64()), ("windows", pa.int32()), ("data", pa.binary())])
+    bounds = [f(c).alias(f"{n}{c}") for c in ("s1", "s2") for n, f in (("lo", F.min), ("hi", F.max))]
+    groups = anchors(texts).groupBy("k").agg(F.count("*").alias("n"), *bounds).where("n > 1")
+    groups = common.stored(groups.select("k", F.expr("los1 <> his1 or los2 <> his2").alias("mixed")), "suffix-groups")
+    null = F.lit(None)
+    same = groups.where("not mixed").select("k", null.cast("long").alias("s1"), null.cast("long").alias("s2"), null.cast(_RUNS).alias("runs"))
+    bits = spark.sparkContext.broadcast(common.bit_filter(groups.where("mixed").select("k")))
+    schema = pa.schema([("k", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("windows", pa.int32()), ("n", pa.int64()), ("data", pa.binary())])
 
     def ship(batches):
-        for _, _, part in _blocks(batches):
-            _, _, count, k, s, data, begin = spans(part)
-            hit = np.flatnonzero(passes(bits.value, k))
-            yield common.table({"k": k[hit].view(np.int64), "s": s[hit].view(np.int64), "windows": count[hit], "data": [data[begin[h] : begin[h] + count[h] + LENGTH - 1].tobytes() for h in hit]}, schema)
-
-    each = texts.mapInArrow(ship, "k long, s long, windows int, data binary").groupBy("k", "s").agg(F.count("*").alias("n"), F.first("windows").alias("windows"), F.first("data").alias("data"))
+        for raws, places in blocks(batches):
+            for _, (_, _, count, k, inside, data, begin) in pieces(raws, places):
+                hit = np.flatnonzero(common.passes(bits.value, k))
+                each = cut(data, begin[hit], count[hit])
+                s1, s2 = digests(each, inside[hit])
+                order = np.lexsort((s2, s1, k[hit]))  # equal spans of a block go as one row
+                new = np.ones(len(order), bool)
+                new[1:] = (np.diff(k[hit][order].view(np.int64)) != 0) | (np.diff(s1[order]) != 0) | (np.diff(s2[order]) != 0)
+                at = np.flatnonzero(new)
+                one = order[at]
+                yield common.table({"k": k[hit][one].view(np.int64), "s1": s1[one], "s2": s2[one], "windows": count[hit][one], "n": np.diff(np.append(at, len(order))), "data": [each[x] for x in one.tolist()]}, schema)
+
+    shipped = common.arrow(texts, ship, "k long, s1 long, s2 long, windows int, n long, data binary")
+    each = shipped.groupBy("k", "s1", "s2").agg(F.sum("n").alias("n"), F.first("windows").alias("windows"), F.first("data").alias("data"))
     each = common.stored(each.join(groups.where("mixed").select("k"), "k"), "suffix-spans")
-    sizes = each.groupBy("k").agg(F.count("*").alias("m"))
-    each = each.join(sizes, "k")
+    each = each.join(each.groupBy("k").agg(F.count("*").alias("m")), "k")
 
     def sort(batches):
         rows: list[tuple] = []
         size = 0
 
         def flush():
-            flags = repeated([r[0] for r in rows], [r[3] for r in rows], [r[2] for r in rows], LENGTH)
-            runs = [[{"a": 0, "b": r[2]}] if r[4] > 1 else _runs(f) for r, f in zip(rows, flags, strict=True)]
+            flags = repeated([r[0] for r in rows], [r[4] for r in rows], [r[3] for r in rows], LENGTH)
+            runs = [[{"a": 0, "b": r[3]}] if r[5] > 1 else _runs(f) for r, f in zip(rows, flags, strict=True)]
             kept = [x for x, y in enumerate(runs) if y]
-            return common.table({"k": [rows[x][0] for x in kept], "s": [rows[x][1] for x in kept], "runs": [runs[x] for x in kept]}, JUDGED)
+            return common.table({"k": [rows[x][0] for x in kept], "s1": [rows[x][1] for x in kept], "s2": [rows[x][2] for x in kept], "runs": [runs[x] for x in kept]}, JUDGED)
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("k", "s", "windows", "data", "n")), strict=True):
-                if rows and size > (4 << 20) and row[0] != rows[-1][0]:
+            for row in zip(*(common.values(batch.column(c)) for c in ("k", "s1", "s2", "windows", "data", "n")), strict=True):
+                if rows and size > SORTED and row[0] != rows[-1][0]:
                     yield flush()
                     rows.clear()
                     size = 0
                 rows.append(row)
-                size += len(row[3])
+                size += len(row[4])
         if rows:
             yield flush()
 
-    few = each.where(F.col("m") <= MANY).select("k", "s", "windows", "data", "n")
-    few = few.repartition(F.col("k")).sortWithinPartitions("k", "s").mapInArrow(sort, _JUDGED)
-    counted = pa.schema([("k", pa.int64()), ("s", pa.int64()), ("o", pa.int32()), ("x", pa.int64()), ("y", pa.binary())])
+    few = each.where(F.col("m") <= many).select("k", "s1", "s2", "windows", "data", "n")
+    few = common.arrow(few.repartition(F.col("k")).sortWithinPartitions("k", "s1", "s2"), sort, _JUDGED)
+    divided = pa.schema([("k", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("o", pa.int32()), ("x", pa.int64()), ("y", pa.int64())])
 
     def windows(batches):
         for batch in batches:
-            for k, s, w, data in zip(*(batch.column(c).to_pylist() for c in ("k", "s", "windows", "data")), strict=True):
-                prefix = textblocks.prefix_hashes(np.frombuffer(data, np.uint8))
-                at = np.arange(w)
-                x = textblocks.span_hashes(prefix, at, at + LENGTH).view(np.int64)
-                yield common.table({"k": [k] * w, "s": [s] * w, "o": at, "x": x, "y": [hashlib.blake2b(data[a : a + LENGTH], digest_size=12).digest() for a in range(w)]}, counted)
-
-    many = each.where(F.col("m") > MANY)
-    opened = many.select("k", "s", "windows", "data").mapInArrow(windows, "k long, s long, o int, x long, y binary")
+            for k, s1, s2, w, data in zip(*(common.values(batch.column(c)) for c in ("k", "s1", "s2", "windows", "data")), strict=True):
+                x, y = digests((data[a : a + LENGTH] for a in range(w)), np.zeros(w))
+                yield common.table({"k": [k] * w, "s1": [s1] * w, "s2": [s2] * w, "o": np.arange(w), "x": x, "y": y}, divided)
+
+    hot = each.where(F.col("m") > many)
+    opened = common.arrow(hot.select("k", "s1", "s2", "windows", "data"), windows, "k long, s1 long, s2 long, o int, x long, y long")
     opened = common.stored(opened, "suffix-windows")
     twice = opened.groupBy("x", "y").agg(F.count("*").alias("c")).where("c > 1").select("x", "y")
-    offsets = opened.join(twice, ["x", "y"]).groupBy("k", "s").agg(F.transform(F.collect_list("o"), lambda o: F.struct(o.alias("a"), (o + 1).alias("b"))).alias("runs"))
-    whole = each.where((F.col("m") > MANY) & (F.col("n") > 1)).select("k", "s", F.array(F.struct(F.lit(0).alias("a"), F.col("windows").alias("b"))).alias("runs"))
-    return common.stored(same.unionAll(few).unionAll(offsets).unionAll(whole), "suffix-judged")
-
-
-SPAN_LIST = "array<struct<a:long,b:long>>"
+    places = F.transform(F.sort_array(F.collect_list("o")), lambda o: F.struct(o.alias("a"), (o + 1).alias("b")))
+    found = opened.join(twice, ["x", "y"]).groupBy("k", "s1", "s2").agg(places.alias("runs"))
+    whole = hot.where("n > 1").select("k", "s1", "s2", F.array(F.struct(F.lit(0).alias("a"), F.col("windows").alias("b"))).alias("runs"))
+    return common.stored(same.unionAll(few).unionAll(found).unionAll(whole), "suffix-judged")
 
 
 def removed(texts: DataFrame, found: DataFrame) -> DataFrame:
     """(id, cut): for texts with repeated windows, by md5 of the text, the byte ranges to remove (they may overlap)."""
-    bits = texts.sparkSession.sparkContext.broadcast(bit_filter(found.select("k")))
-    schema = pa.schema([("id", pa.string()), ("at", pa.int64()), ("windows", pa.int32()), ("k", pa.int64()), ("s", pa.int64())])
+    bits = texts.sparkSession.sparkContext.broadcast(common.bit_filter(found.select("k")))
+    schema = pa.schema([("id", pa.string()), ("at", pa.int64()), ("windows", pa.int32()), ("k", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
 
     def run(batches):
-        for _, _, part in _blocks(batches):
-            doc, start, count, k, s, *_ = spans(part)
-            hit = np.flatnonzero(passes(bits.value, k))
-            ids = {d: hashlib.md5(part[d]).hexdigest() for d in set(doc[hit].tolist())}
-            yield common.table({"id": [ids[d] for d in doc[hit].tolist()], "at": start[hit], "windows": count[hit], "k": k[hit].view(np.int64), "s": s[hit].view(np.int64)}, schema)
-
-    rows = texts.mapInArrow(run, "id string, at long, windows int, k long, s long").distinct()
-    whole = rows.join(found.where("s is null").select("k"), "k").select("id", "at", F.lit(0).alias("a"), F.col("windows").alias("b"))
-    part = rows.join(found.where("s is not null"), ["k", "s"]).select("id", "at", F.explode("runs").alias("r")).select("id", "at", "r.a", "r.b")
+        for raws, places in blocks(batches):
+            ids: dict[int, str] = {}
+            for own, (piece, start, count, k, inside, data, begin) in pieces(raws, places):
+                hit = np.flatnonzero(common.passes(bits.value, k))
+                s1, s2 = digests(cut(data, begin[hit], count[hit]), inside[hit])
+                name, at = [], []
+                for p, a in zip(piece[hit].tolist(), start[hit].tolist(), strict=True):
+                    doc, first = own[p]
+                    if doc not in ids:
+                        ids[doc] = hashlib.md5(raws[doc]).hexdigest()
+                    name.append(ids[doc])
+                    at.append(first + a)
+                yield common.table({"id": name, "at": at, "windows": count[hit], "k": k[hit].view(np.int64), "s1": s1, "s2": s2}, schema)
+
+    rows = common.arrow(texts, run, "id string, at long, windows int, k long, s1 long, s2 long").distinct()
+    whole = rows.join(found.where("s1 is null").select("k"), "k").select("id", "at", F.lit(0).alias("a"), F.col("windows").alias("b"))
+    part = rows.join(found.where("s1 is not null"), ["k", "s1", "s2"]).select("id", "at", F.explode("runs").alias("r")).select("id", "at", "r.a", "r.b")
     cuts = whole.unionAll(part).select("id", F.struct((F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b") + (LENGTH - 1)).alias("b")).alias("r"))
     return cuts.groupBy("id").agg(F.collect_list("r").alias("cut"))  # a text's own ranges
 
@@ -325,7 +359,7 @@ def deduplicated(documents: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = {n: [] for n in schema.names}
-            for d, t, cut in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "cut")), strict=True):
+            for d, t, cut in zip(*(common.values(batch.column(c)) for c in ("doc_id", "text", "cut")), strict=True):
                 raw = t.encode("utf-8", "surrogatepass")
                 spans_, at, kept = union(cut or []), 0, []
                 for a, b in spans_:
@@ -337,7 +371,7 @@ def deduplicated(documents: DataFrame) -> DataFrame:
             yield common.table(out, schema)
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("id", F.md5(F.col("text").cast("binary")))
-    return rows.join(cuts, "id", "left").select("doc_id", "text", "cut").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
+    return common.arrow(rows.join(cuts, "id", "left").select("doc_id", "text", "cut"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
