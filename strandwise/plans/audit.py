@@ -208,8 +208,7 @@ _unit = "raw AS (SELECT doc_id, term, (1 + ln(tf)) * (ln((1.0 + (SELECT count(*)
 def tfidf_block_distance(spark, sf_dir):
     """Pairs within blocks at sparse distance; 2,000 terms, as the SQL's join of terms has to end."""
     rows = obs_text(spark, sf_dir)
-    counts = represent.term_counts(rows, "doc_id", "text")
-    w = represent.weights(counts, represent.vocabulary(counts, 2000), "doc_id", rows.agg(F.count("*")))
+    w = represent.weights(rows, represent.vocabulary(rows, "text", 2000), "doc_id", "text")
     pairs = represent.sparse_block_distances(rows.select("doc_id", "stream", "dimension", "article", "family", "cluster"), w, "doc_id", ["stream", "dimension", "article", "family"], ["cluster"])
     return pairs.groupBy("stream", "dimension").agg(F.round(F.avg("distance"), 6).alias("mean_distance"), F.count("*").alias("n"))
 
@@ -221,9 +220,8 @@ _bench_terms = _terms_sql.replace("FROM documents", "FROM benchmark").replace("d
 def vocabulary_lock(spark, sf_dir):
     """A vocabulary is frozen, its lock is checked, and its counts are taken anew."""
     rows = _read(spark, sf_dir, "benchmark")
-    counts = represent.term_counts(rows, "item_id", "text")
-    locked = represent.lock(represent.vocabulary(counts, 300), quality.tree_hash(rows, "text", "item_id"))
-    found = represent.locked_vocabulary(counts, json.loads(json.dumps(locked)), quality.tree_hash(rows, "text", "item_id"))
+    locked = represent.lock(represent.vocabulary(rows, "text", 300), quality.tree_hash(rows, "text", "item_id"))
+    found = represent.locked_vocabulary(rows, "text", json.loads(json.dumps(locked)), quality.tree_hash(rows, "text", "item_id"))
     one = found.agg(F.count("*").alias("terms_found"), F.sum("cf").alias("occurrences"))
     return one.select(F.lit(locked["features"]).cast("long").alias("features"), F.lit(locked["ordered_vocabulary_sha256"]).alias("vocabulary_sha256"), "terms_found", "occurrences")
 

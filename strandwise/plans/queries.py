@@ -416,7 +416,7 @@ _terms_sql = "tok AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p
 
 @query(f"WITH {_terms_sql} SELECT * FROM vocab")
 def tfidf_vocab(spark, sf_dir):
-    return represent.vocabulary(represent.term_counts(_read(spark, sf_dir, "documents"), "doc_id", "text"), TERMS)
+    return represent.vocabulary(_read(spark, sf_dir, "documents"), "text", TERMS)
 
 
 @query(
@@ -424,8 +424,7 @@ def tfidf_vocab(spark, sf_dir):
 )
 def tfidf_pair_distance(spark, sf_dir):
     rows = obs_text(spark, sf_dir)
-    counts = represent.term_counts(rows, "doc_id", "text")
-    w = represent.weights(counts, represent.vocabulary(counts, TERMS), "doc_id", rows.agg(F.count("*")))
+    w = represent.weights(rows, represent.vocabulary(rows, "text", TERMS), "doc_id", "text")
     keyed = rows.select("cell", "cluster", "dimension", "family", "article", "stream", F.lit("A").alias("company"), "doc_id")
     spine = design.matched_pairs(keyed, keep=("doc_id",)).select("a", "b", F.col("doc_id_a").alias("row_a"), F.col("doc_id_b").alias("row_b"))
     return agg.pair_means(represent.sparse_distances(spine, w, "doc_id")).select("a", "b", *_r("mean_distance"), "n")

@@ -143,15 +143,20 @@ def test_encoders_caches_and_locks(spark, tmp_path):
         assert {r.i: list(r.v) for r in got.collect()} == {1: [3.0, 1.0], 2: [0.0, 1.0], 3: [5.0, 1.0]}
         made = len(list(calls.iterdir())) if _ == 0 else made
     assert len(list(calls.iterdir())) == made
-    counts = represent.term_counts(spark.createDataFrame([(1, "aa bb aa"), (2, "bb cc"), (3, "")], "i long, t string"), "i", "t")
-    assert {tuple(r) for r in counts.collect()} == {(1, "aa", 2), (1, "bb", 1), (1, "aa bb", 1), (1, "bb aa", 1), (2, "bb", 1), (2, "cc", 1), (2, "bb cc", 1)}
+    texts = spark.createDataFrame([(1, "aa bb aa"), (2, "bb cc"), (3, ""), (4, None)], "i long, t string")
+    every = represent.vocabulary(texts, "t", 9, 1)
+    assert [tuple(r) for r in every.collect()] == [("aa", 1, 2), ("bb", 2, 2), ("aa bb", 1, 1), ("bb aa", 1, 1), ("bb cc", 1, 1), ("cc", 1, 1)]
+    assert [r.term for r in represent.vocabulary(texts, "t", 3, 1).collect()] == ["aa", "bb", "aa bb"]
+    raw = {"aa": (1 + np.log(2)) * (np.log(5 / 2) + 1), "bb": np.log(5 / 3) + 1, "aa bb": np.log(5 / 2) + 1, "bb aa": np.log(5 / 2) + 1}
+    got = [r.w for r in represent.weights(texts, every, "i", "t").where("i = 1").collect()]
+    assert np.allclose(sorted(got), sorted(np.array(list(raw.values())) / np.linalg.norm(list(raw.values()))))
     here, there = (spark.createDataFrame([(x,)], "corpus_sha256 string") for x in ("h", "t"))
-    locked = represent.lock(represent.vocabulary(counts, 9, 1), here)
-    assert represent.locked_vocabulary(counts, locked, here).count() == 6
+    locked = represent.lock(every, here)
+    assert {tuple(r) for r in represent.locked_vocabulary(texts, "t", locked, here).collect()} == {tuple(r) for r in every.collect()}
     with pytest.raises(ValueError, match="corpus"):
-        represent.locked_vocabulary(counts, locked, there)
+        represent.locked_vocabulary(texts, "t", locked, there)
     with pytest.raises(ValueError, match="vocabulary"):
-        represent.locked_vocabulary(counts, locked | {"features": 7}, here)
+        represent.locked_vocabulary(texts, "t", locked | {"features": 7}, here)
     audit = represent.chunk_audit(rows, "t", str.split, " ".join, 2, 1).first()
     assert tuple(audit) == (3, 2, 4, 1, 0, 2)
     lossy = represent.chunk_audit(rows, "t", str.split, lambda p: " ".join(p)[:1], 2, 5).first()
