@@ -10,28 +10,35 @@ Exact steps, each on the distinct shingle sets only:
    drawn by hash, anew for each key: members near the threshold miss some of them.
 4. Inverted lists of prefix tokens (rare tokens first) give all pairs that can link. Lists within one component are
    dropped, pairs are made across components only, and verified on the sets. No link between components is lost: two
-   sets that link share a token of their prefixes under any common order.
+   sets that link share tokens of their prefixes under any common order. Of a pair's needed intersection follows how
+   many of a prefix's tokens may stand in no other component's lists; sets with more such *dead* tokens are not paired,
+   nor are sets at a token that the others leave too few common tokens before and after it.
 5. Connected components of all links.
 
 Where light ends is chosen by cost: subsets of a size against prefix tokens times the measured length of a list.
+
+A shingle is its 64-bit hash: two different ones of a pair of sets share one with a chance of 2**-64 each.
 """
 
 from __future__ import annotations
 
+import zlib
 from itertools import combinations
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common, textblocks
 
 WORDS, PERCENT = 4, 85
-#: Cells of the sketch that orders tokens by frequency, bits of the filter of classes to verify: fixed sizes, whatever the input.
-CELLS, FILTER_BITS = 1 << 22, 1 << 24
-BANDS, ROWS, SET_BYTES = 6, 3, 5
+#: Cells of the sketch that orders tokens by frequency (a fixed size, whatever the input), and the slices it is summed in.
+CELLS, SLICES = 1 << 22, 128
+BANDS, ROWS = 6, 3
 LIGHT_MOST = 20
 
 
@@ -79,31 +86,49 @@ def _blocks(batches, column="text"):
 
 
 def sketch(texts: DataFrame, words: int) -> tuple[np.ndarray, dict[int, int], float]:
-    """Estimated document counts of tokens by hashed cell, document counts of small set sizes, and the length of a list.
+    """Document counts of tokens by hashed cell, document counts of small set sizes, and the length of a list.
 
-    A task counts all its tokens in a fixed table and reports cells clearly above its mean; at most CELLS cells reach
-    the driver. The estimates only order tokens: any order gives the same links.
+    Each task counts all its tokens in a table of CELLS cells and writes it in slices, byte by byte of the counts; the
+    slices are summed as they arrive, so the result does not depend on how documents are dealt to tasks, and a table
+    of CELLS cells reaches the driver. The counts only order tokens: any order gives the same links.
     """
-    schema = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
+    schema, width = pa.schema([("slice", pa.int32()), ("shift", pa.int32()), ("data", pa.binary())]), CELLS // SLICES
 
-    def run(batches):
+    def count(batches):
         cells, sizes = np.zeros(CELLS, np.uint32), np.zeros(LIGHT_MOST + 1, np.int64)
         for _, _, part in _blocks(batches):
             first, h, _ = sets(part, words)
             np.add.at(cells, (h & np.uint64(CELLS - 1)).astype(np.int64), 1)
             n = np.diff(first)
             sizes += np.bincount(n[n <= LIGHT_MOST], minlength=LIGHT_MOST + 1)
-        some = np.flatnonzero(cells > 3 + 2 * cells.mean())
-        small = np.flatnonzero(sizes)
-        yield common.table({"kind": [0] * len(some) + [1] * len(small), "key": np.concatenate([some, small]), "n": np.concatenate([cells[some], sizes[small]])}, schema)
-
-    heavy = np.zeros(CELLS, np.uint32)
-    counts = texts.mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")).toArrow()
-    kind, key, n = (counts.column(c).to_numpy() for c in ("kind", "key", "n"))
-    heavy[key[kind == 0]] = np.minimum(n[kind == 0], 0xFFFFFFFF)
-    sizes = dict(zip(key[kind == 1].tolist(), n[kind == 1].tolist(), strict=True))
-    counted = heavy[heavy > 0].astype(float)
-    return heavy, sizes, float(np.median(counted)) if len(counted) else 1.0
+        out = {"slice": [-1], "shift": [0], "data": [sizes.tobytes()]}
+        for k, part in enumerate(cells.reshape(SLICES, width)):
+            for shift in range(0, 32, 8):
+                if (part >> np.uint32(shift)).any():
+                    out["slice"].append(k)
+                    out["shift"].append(shift)
+                    out["data"].append(zlib.compress((part >> np.uint32(shift)).astype(np.uint8).tobytes(), 1))
+        yield common.table(out, schema)
+
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, shift, data in zip(*(batch.column(c).to_pylist() for c in schema.names), strict=True):
+                part = np.frombuffer(data, np.int64) if k < 0 else np.frombuffer(zlib.decompress(data), np.uint8).astype(np.int64) << shift
+                sums[k] = sums[k] + part if k in sums else part
+        yield common.table({"slice": list(sums), "shift": [0] * len(sums), "data": [x.astype(np.int64 if k < 0 else np.uint32).tobytes() for k, x in sums.items()]}, schema)
+
+    kind = "slice int, shift int, data binary"
+    parts = common.arrow(texts, count, kind).repartition(F.col("slice"))
+    cells, sizes = np.zeros((SLICES, width), np.uint32), np.zeros(LIGHT_MOST + 1, np.int64)
+    for k, data in common.arrow(parts, add, kind).select("slice", "data").collect():  # a row a slice
+        if k < 0:
+            sizes = np.frombuffer(data, np.int64)
+        else:
+            cells[k] = np.frombuffer(data, np.uint32)
+    cells = cells.ravel()
+    counted = cells[cells > 0]
+    return cells, {k: n for k, n in enumerate(sizes.tolist()) if n}, float(np.median(counted)) if len(counted) else 1.0
 
 
 def boundary(sizes: dict[int, int], list_length: float, percent: int = PERCENT) -> int:
@@ -150,9 +175,10 @@ SIGNED = "doc_id long, n int, rare int, h1 long, h2 long, bands array<long>, pre
 def signed(documents: DataFrame, words: int, percent: int) -> tuple[DataFrame, int]:
     """Stored row of each document: set size, digests, and the keys by which its set can meet others."""
     texts = documents.select("text")
-    heavy, sizes, length = sketch(texts, words)
+    cells, sizes, length = sketch(texts, words)
     light = boundary(sizes, length, percent)
-    shared = documents.sparkSession.sparkContext.broadcast(heavy)  # CELLS * 4 bytes
+    usual = 3 + 2 * float(cells.mean())  # a token of a cell below is rare
+    shared = documents.sparkSession.sparkContext.broadcast(cells)  # CELLS * 4 bytes
     schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("rare", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("bands", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("subsets", pa.list_(pa.struct([("c", pa.int32()), ("key", pa.int64())])))])
 
     def run(batches):
@@ -184,7 +210,7 @@ def signed(documents: DataFrame, words: int, percent: int) -> tuple[DataFrame, i
                 [
                     keys.take(pa.array(at)),
                     pa.array(n, pa.int32()),
-                    pa.array(np.bincount(d, counted == 0, minlength=len(part)), pa.int32()),
+                    pa.array(np.bincount(d, counted < usual, minlength=len(part)), pa.int32()),
                     pa.array(h1),
                     pa.array(h2),
                     pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array(np.stack(bands, 1)[n > light].ravel())),
@@ -195,7 +221,7 @@ def signed(documents: DataFrame, words: int, percent: int) -> tuple[DataFrame, i
             )
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return common.stored(rows.mapInArrow(run, SIGNED), "jaccard-signed"), light
+    return common.stored(common.arrow(rows, run, SIGNED), "jaccard-signed"), light
 
 
 def _linked(both, n1, n2, percent: int = PERCENT):
@@ -204,29 +230,21 @@ def _linked(both, n1, n2, percent: int = PERCENT):
 
 def wanted_sets(documents: DataFrame, classes: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """Stored (node, tokens) of the classes in ``nodes``: one more pass over the texts, which ships only what a bit
-    filter of FILTER_BITS (a fixed size; false hits only ship more) lets through."""
+    filter lets through (false hits only ship more)."""
     asked = classes.join(nodes.distinct(), "node")
-    spot = F.col("h1").bitwiseXOR(F.coalesce("min_doc", F.lit(0))).bitwiseAND(F.lit(FILTER_BITS - 1))
-    words_of = asked.select(spot.alias("spot")).select(F.expr("cast(spot div 64 as int)").alias("w"), F.expr("shiftleft(1L, cast(spot % 64 as int))").alias("b"))
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
-    for w, b in words_of.groupBy("w").agg(F.bit_or("b")).collect():  # at most FILTER_BITS / 64 rows
-        bits[w] = b
-    shared = documents.sparkSession.sparkContext.broadcast(bits)
+    shared = documents.sparkSession.sparkContext.broadcast(common.bit_filter(asked.select(F.col("h1").bitwiseXOR(F.coalesce("min_doc", F.lit(0))).alias("k"))))
     schema = pa.schema([("doc", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("n", pa.int32()), ("tokens", pa.binary())])
 
     def run(batches):
-        have = shared.value
         for batch, at, part in _blocks(batches):
             keys = [batch.column("doc_id")[k].as_py() for k in at]
             first, h, d = sets(part, words)
             h1, h2 = digests(first, h, d, len(part))
             n = np.diff(first)
-            spots = (h1 ^ np.array([k or 0 for k in keys], np.int64)) & (FILTER_BITS - 1)
-            hit = np.flatnonzero((have[spots >> 6] >> (spots & 63) & 1).astype(bool) & (n > 0))
-            raw = np.ascontiguousarray(h.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :SET_BYTES]
-            yield common.table({"doc": [keys[k] for k in hit], "h1": h1[hit], "h2": h2[hit], "n": n[hit], "tokens": [raw[first[k] : first[k + 1]].tobytes() for k in hit]}, schema)
+            hit = np.flatnonzero(common.passes(shared.value, h1 ^ np.array([k or 0 for k in keys], np.int64)) & (n > 0))
+            yield common.table({"doc": [keys[k] for k in hit], "h1": h1[hit], "h2": h2[hit], "n": n[hit], "tokens": [h[first[k] : first[k + 1]].astype("<u8").tobytes() for k in hit]}, schema)
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").mapInArrow(run, "doc long, h1 long, h2 long, n int, tokens binary")
+    rows = common.arrow(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null"), run, "doc long, h1 long, h2 long, n int, tokens binary")
     keyed = asked.select("node", F.col("min_doc").alias("doc"), "h1", "h2", "n")
     # repeated rows of a document give its set again: any of them
     return common.stored(rows.join(keyed, [rows[c].eqNullSafe(keyed[c]) for c in ("doc", "h1", "h2", "n")]).select("node", "tokens").dropDuplicates(["node"]), "jaccard-sets")
@@ -238,25 +256,19 @@ def verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        def values(x):
-            raw = np.frombuffer(x, np.uint8).reshape(-1, SET_BYTES)
-            out = np.zeros((len(raw), 8), np.uint8)
-            out[:, :SET_BYTES] = raw
-            return out.view("<u8").ravel()
-
         for batch in batches:
             out = {"a": [], "b": []}
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")), strict=True):
-                n1, n2 = len(x) // SET_BYTES, len(y) // SET_BYTES
+            for a, b, x, y in zip(*(common.values(batch.column(c)) for c in ("a", "b", "ta", "tb")), strict=True):
+                n1, n2 = len(x) // 8, len(y) // 8
                 if min(n1, n2) * 100 < max(n1, n2) * percent:
                     continue
-                both = n1 + n2 - len(np.unique(np.concatenate([values(x), values(y)])))
+                both = n1 + n2 - len(np.unique(np.frombuffer(x + y, "<u8")))
                 if _linked(both, n1, n2, percent):
                     out["a"].append(a)
                     out["b"].append(b)
             yield common.table(out, schema)
 
-    return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return common.arrow(rows.select("a", "b", "ta", "tb"), run, "a long, b long")
 
 
 def linked(documents: DataFrame, words: int, percent: int) -> DataFrame:
@@ -280,24 +292,34 @@ def linked(documents: DataFrame, words: int, percent: int) -> DataFrame:
     tokens = wanted_sets(documents, classes, stars.select(F.col("a").alias("node")).unionAll(stars.select("b")), words)
     links = common.stored(verified(stars, tokens, percent).unionAll(light_links), "jaccard-links")
     groups = common.stored(common.components(links), "jaccard-groups")
-    # all other pairs: lists of prefix tokens, across components
+    common.dropped(stars, tokens)
+    # all other pairs: lists of prefix tokens, across components; a token of one component's lists only is dead
     placed = classes.select("node", "n", "prefix").join(groups, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"), "prefix")
-    lists = placed.where(F.size("prefix") > 0).select("node", "n", "component", F.posexplode("prefix").alias("at", "token"))
+    lists = placed.where(F.size("prefix") > 0).select("node", "n", F.size("prefix").alias("size"), "component", F.posexplode("prefix").alias("at", "token"))
     mixed = lists.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    lists = common.stored(lists.join(mixed, "token"), "jaccard-lists")
-    left = lists.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("component").alias("ca"))
-    right = lists.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("component").alias("cb"))
+    own = W.partitionBy("node")
+    lists = lists.join(mixed, "token").withColumn("live", F.row_number().over(own.orderBy("at")) - 1).withColumn("dead", F.col("size") - F.count("*").over(own).cast("int"))
+    lists = common.stored(lists.drop("size"), "jaccard-lists")
+    left = lists.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("at").alias("pa"), F.col("live").alias("la"), F.col("dead").alias("da"), F.col("component").alias("ca"))
+    right = lists.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("at").alias("pb"), F.col("live").alias("lb"), F.col("dead").alias("db"), F.col("component").alias("cb"))
     near = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
     fits = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") > light) & (F.col("ca") != F.col("cb"))
-    # sets that link have ``both`` tokens in common at least, so of the first n - both + l tokens of each they share l
-    both = f"(({percent} * (na + nb) + {99 + percent}) div {100 + percent})"
-    share = f"greatest(1, ({both} - ({percent} * nb + 99) div 100 + 1) div 3)"
+    # sets that link have ``both`` tokens in common at least, so of the first n - both + l tokens of each they share l:
+    # b's prefix has nb - low + 1 tokens, low = least(nb), so l = both - low + 1 of them are common, and nb - both dead
+    # at most; of a's first na - low + 1 tokens as many, and its prefix has only low - least(na) more
+    both, low_a, low_b = f"(({percent} * (na + nb) + {99 + percent}) div {100 + percent})", f"(({percent} * na + 99) div 100)", f"(({percent} * nb + 99) div 100)"
+    alive = F.expr(f"db <= nb - {both} and da <= na - {both} + {low_b} - {low_a}")
+    # common tokens before this one stand among both sets' live ones before it, and the others after it
+    alive = alive & F.expr(f"least(la, lb) + 1 + least(na - pa, nb - pb) - 1 >= {both}")
+    share = f"greatest(1, ({both} - {low_b} + 1) div 3)"
     early = F.expr(f"pa < na - {both} + {share} and pb < nb - {both} + {share}")
-    pairs = left.join(right, "token").where(near & fits & early).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
+    pairs = left.join(right, "token").where(near & fits & alive & early).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
     pairs = common.stored(pairs.where(F.expr(f"k >= {share}")).select("a", "b"), "jaccard-pairs")
+    common.dropped(lists)
     tokens = wanted_sets(documents, classes, pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")), words)
     more = common.stored(verified(pairs, tokens, percent), "jaccard-more")
     groups = common.stored(common.components(links.unionAll(more)), "jaccard-components") if not more.isEmpty() else groups
+    common.dropped(pairs, tokens, links, more)
     named = classes.select("node", "n", "h1", "h2", "min_doc").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = named.groupBy("component").agg(F.min("min_doc").alias("component_id"))
     label = named.join(names, "component").select("n", "h1", "h2", "component", "component_id")
@@ -329,25 +351,26 @@ def deduplicated(documents: DataFrame, words: int = 5, percent: int = 80) -> Dat
     # texts without words have digests of 0: each is its own component
     own = found.where("n_shingles = 0").select("doc_id", "h1", "h2")
     stay = first.unionAll(own).distinct().select(F.col("doc_id").alias("_d"), F.col("h1").alias("_a"), F.col("h2").alias("_b"))
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*documents.schema.fields, T.StructField("_h1", T.LongType()), T.StructField("_h2", T.LongType())])
+    row = F.struct(*(documents[c] for c in documents.columns))  # in a struct, no column's name can clash with ours
+    rows = documents.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc"))
+    schema = T.StructType([rows.schema["row"], rows.schema["doc"], T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())])
 
     def run(batches):
         for batch in batches:
             a, b = [], []
-            for _, _, part in _blocks([batch]):
+            texts = pa.RecordBatch.from_arrays([batch.column("row").field("text")], names=["text"])
+            for _, _, part in _blocks([texts]):
                 first, h, d = sets(part, words)
                 x, y = digests(first, h, d, len(part))
                 a.append(x)
                 b.append(y)
             more = [pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (a, b)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "_h1", "_h2"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc"), *more], names=["row", "doc", "h1", "h2"])
 
-    unnamed = F.col("doc_id").isNull() & (F.col("_h1") == 0) & (F.col("_h2") == 0)
-    rows = documents.mapInArrow(run, schema).withColumn("_u", F.when(unnamed, F.monotonically_increasing_id()))
-    kept = rows.join(stay, rows["doc_id"].cast("long").eqNullSafe(stay["_d"]) & (rows["_h1"] == stay["_a"]) & (rows["_h2"] == stay["_b"]))
-    return kept.dropDuplicates(["_d", "_a", "_b", "_u"]).select(*(rows[c] for c in documents.columns))
+    unnamed = F.col("doc").isNull() & (F.col("h1") == 0) & (F.col("h2") == 0)
+    rows = common.arrow(rows, run, schema).withColumn("own", F.when(unnamed, F.monotonically_increasing_id()))
+    kept = rows.join(stay, rows["doc"].eqNullSafe(stay["_d"]) & (rows["h1"] == stay["_a"]) & (rows["h2"] == stay["_b"]))
+    return kept.dropDuplicates(["_d", "_a", "_b", "own"]).select("row.*")
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
