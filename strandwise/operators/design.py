@@ -51,3 +51,14 @@ def block_distances(obs: DataFrame, design: Design = Design()) -> DataFrame:
     b = obs.select(*keys, F.col(d.cluster).alias("cluster_b"), F.col(d.cell).alias("cell_b"), F.col("v").alias("v_b"))
     pairs = a.join(b, keys).where("cell_a < cell_b")
     return pairs.withColumn("distance", vector.cosine_distance(F.col("v_a"), F.col("v_b"))).drop("v_a", "v_b")
+
+
+def with_dimension(rows: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of their row of ``dimension``, null where it has none; an error where a key stands twice.
+
+    Spark broadcasts a dimension that is small.
+    """
+    twice = dimension.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+    if not twice.isEmpty():
+        raise ValueError("a key of the dimension stands twice")
+    return rows.join(dimension, key, "left")

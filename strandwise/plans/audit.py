@@ -150,6 +150,13 @@ def set_relation(spark, sf_dir):
     return select.same_rows(_read(spark, sf_dir, "labels").select("doc_id"), _read(spark, sf_dir, "documents").select("doc_id"))
 
 
+@query("SELECT vec_id, n.name, n.company FROM embeddings e LEFT JOIN (VALUES (0, 's0', 'A'), (1, 's1', 'A'), (2, 's2', 'B'), (3, 's3', 'B')) n(stream, name, company) ON e.vec_id % 5 = n.stream")
+def stream_dimension(spark, sf_dir):
+    names = spark.createDataFrame([(k, f"s{k}", "AABB"[k]) for k in range(4)], "stream long, name string, company string")
+    rows = _read(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") % 5).alias("stream"))
+    return design.with_dimension(rows, names, "stream").select("vec_id", "name", "company")
+
+
 # cases and validation
 
 _cases = f"""kept AS (SELECT * FROM fact WHERE NOT ({EXCLUDED})), same AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY distance, cell) AS r, row_number() OVER (PARTITION BY a, b ORDER BY distance DESC, cell) AS q, count(*) OVER (PARTITION BY a, b) AS n FROM kept WHERE company_a = company_b),
