@@ -3,7 +3,7 @@
 Both tokenizers end a token before a space that stands between two characters that are no white space (the byte-level
 one keeps the space at the head of the next token, the lower-casing one drops it), so a text's ids are the ids of its
 units, joined. Units that the cache lacks are encoded by the library in one batch; a text with runs of white space is
-cut only at such single spaces.
+cut only at such single spaces. A text that holds a special token's string, in any case, goes to the library whole.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special) or r"(?!)", re.IGNORECASE)
         self.drops_space, self.most = drops_space, most
         self.known: dict[str, bytes] = {}
         # ids of tokens that begin with the byte-level sign of a space
@@ -68,20 +69,21 @@ class UnitEncoder:
         return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") if "\0" not in text else _CUT.split(text)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [self.units(t) for t in texts]
+        whole = {k: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for k, t in enumerate(texts) if self.special.search(t)}
+        cut = [[] if k in whole else self.units(t) for k, t in enumerate(texts)]
         known = self.known
         need = {u for units in cut for u in units if u not in known}
         if need:
             if len(known) + len(need) > self.most:
                 known.clear()
                 need.update(u for units in cut for u in units)
-            # a letter followed by one last comma or point: a token ends between them
-            ends = [u for u in need if u[-1:] in ",." and u[-2:-1].isalpha()]
+            # an ASCII letter followed by one last comma or point: a token ends between them
+            ends = [u for u in need if u[-1:] in ",." and u[-2:-1].isascii() and u[-2:-1].isalpha()]
             need.difference_update(ends)
             need.update(u for u in (*{u[:-1] for u in ends}, ",", ".") if u not in known)
             known.update(self.encode_new(list(need)))
             known.update((u, known[u[:-1]] + known[u[-1]]) for u in ends)
-        return [np.frombuffer(b"".join(map(known.__getitem__, units)), dtype=np.uint16).astype(np.uint32) for units in cut]
+        return [whole[k] if k in whole else np.frombuffer(b"".join(map(known.__getitem__, units)), dtype=np.uint16).astype(np.uint32) for k, units in enumerate(cut)]
 
 
 def encoder(path: str, drops_space: bool) -> UnitEncoder:
