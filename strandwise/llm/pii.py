@@ -1,8 +1,9 @@
 """Personal data: base patterns, and bootstrapped contextual extraction.
 
-Base matches are the seeds. The words around seeds and around other identifier-like strings are lexical patterns; a
-graph of patterns and instances is scored in rounds of joins, and patterns of high confidence give their kind to
-instances that the base patterns miss.
+Base matches are the seeds, and long hexadecimal strings are seeds of a fifth kind, ``secret``, which has no base
+pattern. The words around seeds and around other identifier-like strings are lexical patterns; a graph of patterns and
+instances is scored in rounds of joins, and patterns of high confidence give their kind to instances that the base
+patterns miss.
 """
 
 from __future__ import annotations
@@ -13,21 +14,28 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
+BASE = KINDS[:4]
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Strings that may be identifiers: digit groups, mail-like strings, and long tokens with a digit.
-CANDIDATE = re.compile(r"\+?\(?[0-9][0-9().\x20/-]{3,}[0-9]|[^\s@]+(?:@|\s?[(\[]at[)\]]\s?)[^\s@]+|(?<![A-Za-z0-9_-])[A-Za-z0-9_-]*[0-9][A-Za-z0-9_-]*")
-MARK = re.compile(r"[0-9@]|[(\[]at[)\]]")
-#: A pattern needs seeds worth this much and this share of all its instances; rounds of the graph's scoring.
-SUPPORT, CONFIDENCE, ROUNDS = 3.0, 0.8, 3
-#: Up to so many accepted patterns are sent to each task for redaction; more are joined.
-MOST_SENT = 50_000
+#: Seeds of the fifth kind: hexadecimal strings of 32 digits or more.
+SECRET = re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,}(?![0-9A-Za-z])")
+#: Strings that may be identifiers: digit groups, mail-like strings, what is quoted after a label, and tokens with a digit.
+CANDIDATE = re.compile(
+    r"(?<=[:=]\s[\"'])[^\s\"']{6,}|(?<![0-9A-Za-z])\+?\(?[0-9][0-9().\x20/-]{3,}[0-9](?![0-9A-Za-z])"
+    r"|[^\s@]+(?:@|\s?[(\[]at[)\]]\s?)[^\s@]+|(?<![A-Za-z0-9_-])[A-Za-z0-9_-]*[0-9][A-Za-z0-9_-]*"
+)
+MARK = re.compile(r"[0-9@]|[(\[]at[)\]]|[:=]\s[\"']")
+PART = re.compile(r"\w+|[^\w\s]+")
+#: A pattern needs seeds worth this much and this share of all its instances; rounds of the graph's scoring; the
+#: characters on either side that patterns look at.
+SUPPORT, CONFIDENCE, ROUNDS, REACH = 3.0, 0.8, 3, 80
 
 
 def digits(s: str) -> str:
@@ -54,22 +62,40 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def shape(s: str) -> str:
+    """A string with its digit runs as 9 and its letter runs as a."""
+    return re.sub(r"[0-9]+", "9", re.sub(r"[^\W\d_]+", "a", s))
+
+
 def around(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns at a span: the two words before it, a label just before it, and the two words after it."""
-    before = text[max(0, start - 60) : start].rpartition("\n")[2].lower().split()
-    after = text[end : end + 60].partition("\n")[0].lower().split()
-    out = []
-    if len(before) > 1:
-        out.append("L " + " ".join(before[-2:]))
-    if before and before[-1][-1] in ":=#":
-        out.append("l " + before[-1])
-    if len(after) > 1:
-        out.append("R " + " ".join(after[:2]))
+    """Lexical patterns at a span of one line: the two words before it, the two after it, a label that leads up to it
+    (``token = "``), and the word on either side with the span's shape. Words that the reach cuts are left out."""
+    line = max(text.rfind("\n", 0, start) + 1, start - REACH)
+    before = PART.findall(text[line:start].lower())
+    if line and not text[line - 1].isspace() and not text[line].isspace():
+        before = before[1:]
+    stop = text.find("\n", end, end + REACH)
+    cut = stop < 0 and end + REACH < len(text)
+    after = PART.findall(text[end : stop if stop >= 0 else end + REACH].lower())
+    if cut and not text[end + REACH].isspace():
+        after = after[:-1]
+    words, next_ = [x for x in before if x[0].isalnum()], [x for x in after if x[0].isalnum()]
+    out, form = [], shape(text[start:end])
+    if len(words) > 1:
+        out.append(f"L {words[-2]} {words[-1]}")
+    if len(next_) > 1:
+        out.append(f"R {next_[0]} {next_[1]}")
+    marks = "".join(before[k] for k in range(len(before)) if k > max((j for j, x in enumerate(before) if x[0].isalnum()), default=-1))
+    if words and any(c in marks for c in ":=#"):
+        out.append(f"l {words[-1]}{marks}")
+    if len(form) <= 24:
+        out += [f"s {words[-1]} {form}"] if words else []
+        out += [f"t {form} {next_[0]}"] if next_ else []
     return out
 
 
 def read_text(text: str) -> tuple[list, list, list]:
-    """Base spans; seeds (kind number, instance, patterns); candidates (start, end, instance, patterns) beside them."""
+    """Base spans; seeds (kind number, instance, patterns); candidates (start, end, instance, patterns) beside the base spans."""
     if not MARK.search(text):
         return [], [], []
     base = base_spans(text)
@@ -78,43 +104,50 @@ def read_text(text: str) -> tuple[list, list, list]:
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
         s = m.group()
-        if "@" not in s and "at" not in s.lower() and len(digits(s)) < 5:
+        quoted = text[a - 1 : a] in "\"'" and a > 1
+        if "@" not in s and "at" not in s.lower() and len(digits(s)) < 5 and not quoted:
             continue
         while b > a and text[b - 1] in ".,;:!?)":
             b -= 1
-        if not any(x < b and a < y for x, _, y in base) and (patterns := around(text, a, b)):
-            others.append((a, b, text[a:b].lower(), patterns))
+        if any(x < b and a < y for x, _, y in base) or not (patterns := around(text, a, b)):
+            continue
+        instance = text[a:b].lower()
+        if SECRET.fullmatch(text, a, b) and not instance.isdigit():
+            seeds.append((4, instance, patterns))
+        others.append((a, b, instance, patterns))
     return base, seeds, others
 
 
-ROW = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<s:int,k:int,e:int>>, seeds array<struct<k:int,i:string,p:array<string>>>, others array<struct<s:int,e:int,i:string,p:array<string>>>"
+ROW = "id string, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<s:int,k:int,e:int>>, seeds array<struct<k:int,i:string,p:array<string>>>, others array<struct<s:int,e:int,i:string,p:array<string>>>"
 _SPAN = pa.list_(pa.struct([("s", pa.int32()), ("k", pa.int32()), ("e", pa.int32())]))
 _SEED = pa.list_(pa.struct([("k", pa.int32()), ("i", pa.string()), ("p", pa.list_(pa.string()))]))
 _OTHER = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("i", pa.string()), ("p", pa.list_(pa.string()))]))
-_SCHEMA = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("base", _SPAN), ("seeds", _SEED), ("others", _OTHER)])
+_SCHEMA = pa.schema([("id", pa.string()), ("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE), ("base_sha256", pa.string()), ("base", _SPAN), ("seeds", _SEED), ("others", _OTHER)])
 
 
 def extracted(documents: DataFrame) -> DataFrame:
-    """Stored rows: a ``uid``, base counts and digest, base spans, seeds and candidates of each document; no text."""
+    """Stored rows: ``uid``, the text's md5 ``id``, base counts and digest, base spans, seeds and candidates; no text."""
 
     def run(batches):
         for batch in batches:
             out = {n: [] for n in _SCHEMA.names}
             out["doc_id"] = batch.column("doc_id").to_pylist()
-            for text in batch.column("text"):
-                base, seeds, others = read_text(text.as_py() or "")
-                counts = [0] * len(KINDS)
+            for text in common.values(batch.column("text")):
+                text = text or ""
+                base, seeds, others = read_text(text)
+                counts = [0] * len(BASE)
                 for _, k, _ in base:
                     counts[k] += 1
-                for kind, n in zip(KINDS, counts, strict=True):
+                for kind, n in zip(BASE, counts, strict=True):
                     out[f"n_{kind}"].append(n)
+                out["id"].append(hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest() if others else None)
                 out["base_sha256"].append(hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest())
                 out["base"].append([{"s": a, "k": k, "e": b} for a, k, b in base])
                 out["seeds"].append([{"k": k, "i": i, "p": p} for k, i, p in seeds])
                 out["others"].append([{"s": a, "e": b, "i": i, "p": p} for a, b, i, p in others])
             yield common.table(out, _SCHEMA)
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ROW)
+    rows = common.arrow(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, ROW)
     return common.stored(rows.withColumn("uid", F.monotonically_increasing_id()), "pii-rows")
 
 
@@ -143,39 +176,38 @@ def learned(rows: DataFrame, support: float = SUPPORT, confidence: float = CONFI
     return accepted
 
 
-def contextual(rows: DataFrame, accepted: DataFrame) -> DataFrame:
-    """(uid, more): for rows whose candidates have accepted patterns, the spans found, of the surest pattern's kind."""
-    each = rows.select("uid", F.explode("others").alias("x")).select("uid", "x.s", "x.e", F.explode("x.p").alias("pattern"))
-    best = each.join(accepted, "pattern").groupBy("uid", "s", "e").agg(F.max(F.struct("confidence", (-F.col("k")).alias("k"))).alias("m"))
+def contextual(rows: DataFrame, accepted: DataFrame, key: str) -> DataFrame:
+    """(key, more): for rows whose candidates have accepted patterns, the spans found, of the surest pattern's kind; of
+    equally sure kinds the first. ``key`` is uid, or id for each distinct text once."""
+    each = rows.where(F.size("others") > 0).select(key, F.explode("others").alias("x")).select(key, "x.s", "x.e", F.explode("x.p").alias("pattern"))
+    best = each.join(accepted, "pattern").groupBy(key, "s", "e").agg(F.max(F.struct("confidence", (-F.col("k")).alias("k"))).alias("m"))
     span = F.struct(F.col("s"), (-F.col("m.k")).cast("int").alias("k"), F.col("e"))
-    return best.groupBy("uid").agg(F.collect_list(span).alias("more"))  # a document's own spans
+    return best.groupBy(key).agg(F.sort_array(F.collect_list(span)).alias("more"))  # a document's own spans
 
 
 def found(documents: DataFrame) -> DataFrame:
     """All spans of all ``documents`` (doc_id, text; other columns are ignored), one row each.
 
     Columns: doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of the base matches, and ``spans`` (base and
-    contextual ones as kind:start:end in code points, comma-joined, by start, then kind), n_context. Null and empty
-    texts have none. Repeated rows stay; an empty table gives no rows.
+    contextual ones as kind:start:end in code points, comma-joined, by start, then kind), n_context (the method's
+    spans) and n_spans (all). Null and empty texts have none. Repeated rows stay; an empty table gives no rows.
     """
     rows = extracted(documents)
-    more = contextual(rows, learned(rows))
+    more = contextual(rows, learned(rows), "uid")
     every = F.sort_array(F.concat("base", F.coalesce("more", F.array().cast("array<struct<s:int,k:int,e:int>>"))))
     names = F.array(*map(F.lit, KINDS))
     text = F.transform(every, lambda x: F.concat_ws(":", F.element_at(names, x["k"] + 1), x["s"].cast("string"), x["e"].cast("string")))
-    return rows.join(more, "uid", "left").select("doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", F.array_join(text, ",").alias("spans"), F.coalesce(F.size("more"), F.lit(0)).cast("long").alias("n_context"))
+    n = F.coalesce(F.size("more"), F.lit(0)).cast("long")
+    both = rows.join(more, "uid", "left")
+    return both.select("doc_id", *(f"n_{k}" for k in BASE), "base_sha256", F.array_join(text, ",").alias("spans"), n.alias("n_context"), (n + F.size("base")).alias("n_spans"))
 
 
-def masked(text: str, patterns: dict[str, tuple[int, float]]) -> str:
-    """``text`` with base spans and candidates at accepted patterns replaced by the kind's mark, like ``<EMAIL>``."""
-    base, _, others = read_text(text)
-    spans = [(a, b, k) for a, k, b in base]
-    for a, b, _, near in others:
-        if hits := [patterns[p] for p in near if p in patterns]:
-            spans.append((a, b, max(hits, key=lambda h: (h[1], -h[0]))[0]))
+def masked(text: str, more: list[dict]) -> str:
+    """``text`` with base spans and the spans ``more`` replaced by the kind's mark, like ``<EMAIL>``."""
+    spans = [(a, b, k) for a, k, b in base_spans(text)] + [(x["s"], x["e"], x["k"]) for x in more]
     out, at = [], 0
     for a, b, k in sorted(spans):
-        if a < at:  # base spans of two kinds may overlap: one mark for both
+        if a < at:  # spans of two kinds may overlap: one mark for both
             at = max(at, b)
             continue
         out += [text[at:a], f"<{KINDS[k].upper()}>"]
@@ -186,35 +218,26 @@ def masked(text: str, patterns: dict[str, tuple[int, float]]) -> str:
 def redacted(documents: DataFrame) -> DataFrame:
     """``documents`` with all personal data in ``text`` masked; all rows and columns stay, ``n_chars`` is counted anew.
 
-    Null and empty texts stay. Up to MOST_SENT accepted patterns go to the tasks; beyond, only the patterns that a
-    document's own candidates have are joined to it.
+    Null and empty texts stay. Contextual spans are joined by the text's md5, so equal texts are masked alike. Columns
+    of any name may stand beside doc_id and text; repeated rows stay; an empty table gives no rows.
     """
     rows = extracted(documents)
-    accepted = learned(rows)
-    columns = documents.columns
-    count = accepted.count()
-    if count <= MOST_SENT:
-        table = {r[0]: (r[1], r[2]) for r in accepted.orderBy("confidence").collect()}
-
-        def run(batches):
-            for batch in batches:
-                text = pa.array([masked(t, table) if t else t for t in batch.column("text").to_pylist()], pa.string())
-                yield batch.set_column(batch.schema.get_field_index("text"), "text", text)
-
-        out = documents.mapInArrow(run, documents.schema)
-    else:
-        keyed = common.stored(documents.withColumn("_uid", F.monotonically_increasing_id()), "pii-documents")
-        rows = extracted(keyed.select(F.col("_uid").alias("doc_id"), "text"))
-        each = rows.select(F.col("doc_id").alias("_uid"), F.explode("others").alias("x")).select("_uid", F.explode("x.p").alias("pattern"))
-        own = each.distinct().join(accepted, "pattern").groupBy("_uid").agg(F.collect_list(F.struct("pattern", "k", "confidence")).alias("_own"))
-
-        def run(batches):
-            for batch in batches:
-                text = [masked(t, {p["pattern"]: (p["k"], p["confidence"]) for p in own or ()}) if t else t for t, own in zip(batch.column("text").to_pylist(), batch.column("_own").to_pylist(), strict=True)]
-                yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(text, pa.string())).select(columns)
-
-        out = keyed.join(own, "_uid", "left").select(*columns, "_own").mapInArrow(run, documents.schema)
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in columns else out
+    more = contextual(rows, learned(rows), "id")
+    # in a struct, no column's name can clash with ours
+    keyed = documents.select(F.struct(*(documents[c] for c in documents.columns)).alias("row"), F.md5(F.coalesce(documents["text"], F.lit("")).cast("binary")).alias("id"))
+    schema = T.StructType([keyed.schema["row"]])
+    at = next(k for k, c in enumerate(documents.columns) if c.lower() == "text")
+
+    def run(batches):
+        for batch in batches:
+            row = batch.column("row")
+            columns = [row.field(k) for k in range(row.type.num_fields)]
+            pairs = zip(common.values(columns[at]), common.values(batch.column("more")), strict=True)
+            columns[at] = pa.array([masked(t, found or ()) if t else t for t, found in pairs], pa.string())
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, fields=list(row.type))], names=["row"])
+
+    out = common.arrow(keyed.join(more, "id", "left").select("row", "more"), run, schema).select("row.*")
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in documents.columns else out
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
