@@ -1,18 +1,21 @@
-"""Benchmark decontamination: word pairs of test items seed a join with training passages, which Smith-Waterman
+"""Benchmark decontamination: rare word pairs of test items seed a join with training passages, which Smith-Waterman
 alignment then scores, so edited copies are found as well.
 
 The seeds miss no passage from the threshold up. An alignment of m of an item's n words with e edits scores 2m - e, so
 from a share t of 2n up m >= t n and e <= 2m - 2tn. Its matches stand in at most e + 1 runs, so it keeps at least
 m - e - 1 >= (2t - 1) n - 1 word pairs, within a span of n + 2(1 - t) n words. Where that is no pair (short items, low
-thresholds), single words are the seeds, of which it keeps t n.
+thresholds), single words are the seeds, of which it keeps t n. Of the pairs that it keeps at least, half may be the
+item's most frequent ones, by counts over all documents: these are no seeds, and the other half must still be there.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,18 +39,39 @@ def grams(w: textblocks.Words, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.n
 
 def align(item: np.ndarray, passage: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[int, int]:
     """Best Smith-Waterman score of two word sequences, and where in ``passage`` the best alignment ends."""
+    return align_to(item, passage, match, mismatch, gap)[::2]
+
+
+def align_to(item: np.ndarray, passage: np.ndarray, match: int = 2, mismatch: int = -1, gap: int = -1) -> tuple[int, int, int]:
+    """Best score, and where in ``item`` and in ``passage`` its alignment ends."""
     n = len(passage)
     ramp = np.arange(n + 1) * -gap
-    row, best, end = np.zeros(n + 1, np.int64), 0, 0
-    for word in item:
+    row, best, last, end = np.zeros(n + 1, np.int64), 0, 0, 0
+    for k, word in enumerate(item):
         now = np.zeros(n + 1, np.int64)
         now[1:] = np.maximum(row[:-1] + np.where(passage == word, match, mismatch), row[1:] + gap)
         now = np.maximum(np.maximum.accumulate(np.maximum(now, 0) + ramp) - ramp, 0)
         top = int(now.argmax())
         if now[top] > best:
-            best, end = int(now[top]), top
+            best, last, end = int(now[top]), k + 1, top
         row = now
-    return best, end
+    return best, last, end
+
+
+def begins(item: np.ndarray, passage: np.ndarray, score: int, match: int = 2, mismatch: int = -1, gap: int = -1) -> int:
+    """Where in ``passage`` an alignment of ``score`` begins that ends at the end of both: the same sums from the end,
+    without a new start on the way."""
+    item, passage = item[::-1], passage[::-1]
+    ramp = np.arange(len(passage) + 1) * -gap
+    row = -ramp
+    for k, word in enumerate(item):
+        now = np.full(len(passage) + 1, gap * (k + 1))
+        now[1:] = np.maximum(row[:-1] + np.where(passage == word, match, mismatch), row[1:] + gap)
+        row = np.maximum.accumulate(now + ramp) - ramp
+        at = np.flatnonzero(row >= score)
+        if len(at):
+            return len(passage) - int(at[0])
+    return 0
 
 
 def ceiling(x: float) -> int:
@@ -76,10 +100,24 @@ class Items:
             keep = single[w.doc[at]] == (size == 1)
             found.append((h[keep], w.doc[at[keep]], at[keep] - w.first[w.doc[at[keep]]]))
         h, item, inside = (np.concatenate(x) for x in zip(*found, strict=True))
+        self._index(h, item, inside)
+
+    def _index(self, h: np.ndarray, item: np.ndarray, inside: np.ndarray) -> None:
         order = np.argsort(h, kind="stable")
         self.grams, first = np.unique(h[order], return_index=True)
         self.first, self.item, self.inside = np.append(first, len(h)), item[order], inside[order]
 
+    def keep_rare(self, counts: np.ndarray) -> None:
+        """Leave an item's most frequent grams out, by ``counts`` of documents: half of what an alignment keeps at least."""
+        h, n = np.repeat(self.grams, np.diff(self.first)), np.repeat(counts, np.diff(self.first))
+        order = np.lexsort((self.inside, h, n, self.item))
+        drop = self.need // 2
+        size = np.bincount(self.item, minlength=len(self.need))
+        rank = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
+        stay = order[rank < (size - drop)[self.item[order]]]
+        self.need = self.need - drop
+        self._index(h[stay], self.item[stay], self.inside[stay])
+
     def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Indices of the entries of ``h`` that are grams, and which."""
         if not len(self.grams):
@@ -138,7 +176,7 @@ def hits(texts: list[str], items: Items):
         begin = end
     for (doc, item), starts in near.items():
         words = items.words[item]
-        lo, hi, slack, best = int(w.first[doc]), int(w.first[doc + 1]), int(items.slack[item]) + 1, (0, 0)
+        lo, hi, slack, best = int(w.first[doc]), int(w.first[doc + 1]), int(items.slack[item]) + 1, (0, 0, 0, 0)
         # passages: windows about the seeds, joined where they overlap
         passages: list[list[int]] = []
         for s in sorted(set(starts)):
@@ -150,34 +188,62 @@ def hits(texts: list[str], items: Items):
             else:
                 passages.append([a, b])
         for a, b in passages:
-            score, end = align(words, w.hash[a:b])
+            score, last, end = align_to(words, w.hash[a:b])
             if score > best[0]:
-                best = (score, a + end)
-        if best[0] >= items.threshold * 2 * len(words):
-            yield doc, item, best[0] / (2 * len(words)), len(starts), max(lo, best[1] - len(words)) - lo, best[1] - lo
+                best = (score, last, a, a + end)
+        score, last, a, end = best
+        if score >= items.threshold * 2 * len(words):
+            yield doc, item, score / (2 * len(words)), len(starts), a + begins(words[:last], w.hash[a:end], score) - lo, end - lo
 
 
-def scan(rows: DataFrame, items: Items) -> DataFrame:
+def scan(rows: DataFrame, items: Broadcast) -> DataFrame:
     """One row for each row of ``rows`` (doc_id, text) and item that align."""
 
     def run(batches):
         for batch in batches:
             keys, out = batch.column("doc_id").to_pylist(), {n: [] for n in HITS.names}
             for at, part in common.grouped(enumerate(common.values(batch.column("text")))):
-                for doc, item, *rest in hits(part, items):
-                    for n, v in zip(HITS.names, (keys[at[doc]], items.ids[item], *rest), strict=True):
+                for doc, item, *rest in hits(part, items.value):
+                    for n, v in zip(HITS.names, (keys[at[doc]], items.value.ids[item], *rest), strict=True):
                         out[n].append(v)
             yield common.table(out, HITS)
 
-    return rows.mapInArrow(run, "doc_id long, item_id long, score double, n_seeds long, start_word long, end_word long")
+    return common.arrow(rows, run, "doc_id long, item_id long, score double, n_seeds long, start_word long, end_word long")
+
 
+def gram_counts(rows: DataFrame, items: Items) -> np.ndarray:
+    """In how many of all ``rows`` (text) each gram of the items stands. A task sums its own, so few rows are shuffled."""
+    schema = pa.schema([("gram", pa.int32()), ("n", pa.int64())])
+    shared = rows.sparkSession.sparkContext.broadcast((items.grams, items.sizes))
 
-def item_blocks(benchmark: DataFrame, threshold: float):
-    """The items, in blocks of about BLOCK_CHARS characters by hash."""
+    def run(batches):
+        known, sizes = shared.value
+        sums = np.zeros(len(known), np.int64)
+        for batch in batches:
+            for _, part in common.grouped(enumerate(common.values(batch.column("text")))):
+                w = word_block(part)
+                h, first = grams(w, sizes)
+                at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+                hit = np.flatnonzero(known[at] == h) if len(known) else at[:0]
+                pairs = np.unique(np.stack([w.doc[first[hit]], at[hit]]), axis=1)
+                np.add.at(sums, pairs[1], 1)
+        found = np.flatnonzero(sums)
+        yield common.table({"gram": found, "n": sums[found]}, schema)
+
+    counts = np.zeros(len(items.grams), np.int64)
+    found = common.arrow(rows.select("text"), run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    counts[found.column("gram").to_numpy()] = found.column("n").to_numpy()
+    return counts
+
+
+def item_blocks(documents: DataFrame, benchmark: DataFrame, threshold: float) -> Iterator[Broadcast]:
+    """The items, in blocks of about BLOCK_CHARS characters by hash, with the seeds that are rare in ``documents``."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     blocks = -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // BLOCK_CHARS) or 1
     for k in range(blocks):
-        yield Items([(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()], threshold)
+        block = Items([(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()], threshold)
+        block.keep_rare(gram_counts(documents, block))
+        yield documents.sparkSession.sparkContext.broadcast(block)
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.6) -> DataFrame:
@@ -186,12 +252,13 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
     ``score`` is the best local alignment (match 2, mismatch and gap -1) of the item's words with a passage, as a share
     of the item's full score; from ``threshold`` up it is contamination. All documents (doc_id, text) are read against
     the items in blocks of at most about BLOCK_CHARS characters, so what tasks get is bounded whatever the benchmark's
-    size. Null and empty texts or items, and items without words, match nothing. Repeated rows give repeated rows, as
+    size; a block takes two passes, one for its seeds' counts. An item of one word is found wherever that word stands.
+    Null and empty texts or items, and items without words, match nothing. Repeated rows give repeated rows, as
     do repeated items; empty tables give none; other columns are ignored.
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
-    for items in item_blocks(benchmark, threshold):
+    for items in item_blocks(rows, benchmark, threshold):
         found = scan(rows, items)
         out = found if out is None else out.unionAll(found)
     return out
@@ -200,17 +267,17 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, threshold: float =
 def decontaminated(documents: DataFrame, benchmark: DataFrame, threshold: float = 0.6) -> DataFrame:
     """``documents`` without those that ``contaminated`` finds, all columns kept; rows are judged in the scan, unshuffled."""
     out = documents
-    for items in item_blocks(benchmark, threshold):
+    for items in item_blocks(documents, benchmark, threshold):
 
         def run(batches, items=items):
             for batch in batches:
                 stay = np.ones(batch.num_rows, bool)
                 for at, part in common.grouped(enumerate(common.values(batch.column("text")))):
-                    for doc, *_ in hits(part, items):
+                    for doc, *_ in hits(part, items.value):
                         stay[at[doc]] = False
                 yield batch.filter(pa.array(stay))
 
-        out = out.mapInArrow(run, documents.schema)
+        out = common.arrow(out, run, documents.schema)
     return out
 
 
