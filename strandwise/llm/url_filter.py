@@ -2,18 +2,23 @@
 
 Only DataFrame functions run here. The models are variable-order Markov models: for each character and each order k
 the counts of its k-gram and of that gram's context are looked up, and the probability of order k is smoothed with
-that of order k - 1, (n(gram) + a p) / (n(context) + a), down to a uniform one. Grams are hashed to ``BUCKETS`` cells
-an order, so the count table that is broadcast has at most 2 * ORDER * BUCKETS rows whatever the input.
+that of order k - 1, (n(gram) + a p) / (n(context) + a), down to a uniform one. The counts are a table of the grams
+themselves, which grows with the URLs; a gram is scored once and joined to its places.
+
+The rules label the URLs that train the models. So that the models do not just learn the rules again, they don't see
+what rules speak of: the last two labels of the host (its domain) and the path's first segment.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-ORDER, BUCKETS, STRENGTH, ALPHABET = 4, 1 << 15, 2.0, 128
+ORDER, STRENGTH, ALPHABET = 4, 2.0, 128
 #: (verdict, host, path); a rule fits its host and all subdomains, for paths that start with its path.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -38,47 +43,60 @@ def ruled(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _cell(slot: int, gram: Column) -> Column:
-    return F.lit(slot * BUCKETS) + F.pmod(F.xxhash64(gram), F.lit(BUCKETS))
+def seen(url: Column, host: Column) -> Column:
+    """What the models see of a URL: its host without the last two labels, its path without the first segment, the rest."""
+    begin = F.instr(url, "://")
+    rest = F.translate(F.substring(url, begin + 3 + F.length(host), F.length(url)), UPPER, LOWER)
+    # a host of one or two labels is all domain; a path's first segment ends with a slash
+    name = F.regexp_replace(host, r"(^|\.)[^.]*(\.[^.]*)?$", "")
+    return F.when(begin > 0, F.concat(name, F.lit("/"), F.regexp_replace(rest, r"^/[^/?#]*/", ""))).otherwise(F.translate(F.coalesce(url, F.lit("")), UPPER, LOWER))
 
 
 def _places(texts: DataFrame) -> DataFrame:
-    """One row a character of column ``t`` (after a start mark): columns g1..gK and c1..cK, cells of grams and contexts."""
+    """One row a character of column ``t`` (after a start mark): the other columns and ``g``, its ORDER-gram."""
     t = texts.withColumn("t", F.concat(F.lit("^"), "t"))
     t = t.withColumn("i", F.explode(F.sequence(F.lit(2), F.greatest(F.length("t"), F.lit(2)))))
-    begin = [F.greatest(F.col("i") - F.lit(k - 1), F.lit(1)) for k in range(1, ORDER + 1)]
-    grams = [_cell(k, F.substring(F.col("t"), begin[k], F.col("i") - begin[k] + 1)).alias(f"g{k + 1}") for k in range(ORDER)]
-    contexts = [_cell(ORDER + k, F.substring(F.col("t"), begin[k], F.col("i") - begin[k])).alias(f"c{k + 1}") for k in range(ORDER)]
-    return t.select(*[c for c in texts.columns if c != "t"], *grams, *contexts)
+    begin = F.greatest(F.col("i") - F.lit(ORDER - 1), F.lit(1))
+    return t.select(*[c for c in texts.columns if c != "t"], F.substring(F.col("t"), begin, F.col("i") - begin + 1).alias("g"))
+
+
+def _tail(gram: Column, k: int) -> Column:
+    """The last k characters; a gram at the text's start may have fewer."""
+    return F.substring(gram, F.greatest(F.length(gram) - F.lit(k - 1), F.lit(1)), F.lit(k))
 
 
 def fitted(labelled: DataFrame) -> DataFrame:
-    """Counts (cell, accepted, rejected) of the URLs in column ``t`` by boolean ``good``."""
-    cells = _places(labelled.select("t", "good")).select("good", F.explode(F.array(*[f"{x}{k}" for x in "gc" for k in range(1, ORDER + 1)])).alias("cell"))
-    return cells.groupBy("cell").agg(F.count_if("good").cast("double").alias("accepted"), F.count_if(~F.col("good")).cast("double").alias("rejected"))
+    """Counts (k, gram, accepted, rejected) of the grams of each order in the URLs in column ``t`` by boolean ``good``."""
+    longest = _places(labelled.select("t", "good")).groupBy("g").agg(F.count_if("good").alias("a"), F.count_if(~F.col("good")).alias("r"))
+    each = F.array(*[F.struct(F.lit(k).alias("k"), _tail(F.col("g"), k).alias("gram")) for k in range(1, ORDER + 1)])
+    return longest.select("a", "r", F.inline(each)).groupBy("k", "gram").agg(F.sum("a").cast("double").alias("accepted"), F.sum("r").cast("double").alias("rejected"))
 
 
 def scored(texts: DataFrame, model: DataFrame) -> DataFrame:
     """(t, score): mean log-likelihood difference a character of each distinct ``t``, accepted minus rejected."""
-    rows = _places(texts.select("t", F.col("t").alias("url")).distinct())
-    small = F.broadcast(model)
-    for k in range(1, ORDER + 1):
-        for x in "gc":
-            m = small.select(F.col("cell").alias(f"{x}{k}"), F.col("accepted").alias(f"a{x}{k}"), F.col("rejected").alias(f"r{x}{k}"))
-            rows = rows.join(m, f"{x}{k}", "left")
+    texts = texts.select("t").distinct().select("t", F.xxhash64("t").alias("u"), F.xxhash64(F.lit(1), F.col("t")).alias("v"))
+    places = _places(texts)
+    rows = places.select("g").distinct()
+    contexts = model.groupBy("k", F.expr("substring(gram, 1, length(gram) - 1)").alias("gram")).agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
     chance = {side: F.lit(1.0 / ALPHABET) for side in "ar"}
+    for k in range(1, ORDER + 1):
+        for x, table, key in (("g", model, _tail(F.col("g"), k)), ("c", contexts, F.expr(f"substring(g, greatest(length(g) - {k - 1}, 1), least({k}, length(g)) - 1)"))):
+            m = table.where(F.col("k") == k).select(F.col("gram").alias("_m"), F.col("accepted").alias(f"a{x}{k}"), F.col("rejected").alias(f"r{x}{k}"))
+            rows = rows.withColumn("_k", key).join(m, F.col("_k") == F.col("_m"), "left").drop("_k", "_m")
     for k in range(1, ORDER + 1):
         for side in "ar":
-            context = F.coalesce(f"{side}c{k}", F.lit(0.0))
-            chance[side] = (F.least(F.coalesce(f"{side}g{k}", F.lit(0.0)), context) + F.lit(STRENGTH) * chance[side]) / (context + F.lit(STRENGTH))
-    difference = F.log(chance["a"]) - F.log(chance["r"])
-    return rows.groupBy(F.col("url").alias("t")).agg(F.avg(difference).alias("score"))
+            context, own = F.coalesce(f"{side}c{k}", F.lit(0.0)), F.coalesce(f"{side}g{k}", F.lit(0.0))
+            chance[side] = (own + F.lit(STRENGTH) * chance[side]) / (context + F.lit(STRENGTH))
+    grams = rows.select("g", (F.log(chance["a"]) - F.log(chance["r"])).alias("d"))
+    means = places.join(grams, "g").groupBy("u", "v").agg(F.avg("d").alias("score"))
+    return texts.join(means, ["u", "v"]).select("t", "score")
 
 
 def threshold(scores: DataFrame, width: float = 0.05) -> float | None:
     """The cut with the best sum of the shares kept of good and dropped of bad URLs; ties: the middle of the best run.
 
-    ``scores``: (score, good). At most 400 grouped bins reach the driver. None if a class is missing.
+    ``scores``: (score, good). At most 400 grouped bins reach the driver. None if a class is missing, or if the sum is
+    no more than twice its standard error above that of a guess, 1: then nothing is known of URLs without a rule.
     """
     place = F.floor(F.least(F.greatest("score", F.lit(-10.0)), F.lit(10.0)) / F.lit(width)).cast("int")
     bins = sorted((r[0], r[1], r[2]) for r in scores.groupBy(place.alias("b")).agg(F.count_if("good"), F.count_if(~F.col("good"))).collect())
@@ -90,6 +108,8 @@ def threshold(scores: DataFrame, width: float = 0.05) -> float | None:
         marks.append((kept / good + dropped / bad, b))
         kept, dropped = kept - g, dropped + r
     best = max(m for m, _ in marks)
+    if best - 1 <= math.sqrt(1 / good + 1 / bad):
+        return None
     at = [b for m, b in marks if m == best]
     low = max([b for b, *_ in bins if b < at[0]], default=at[0] - 2)
     return width * (low + 1 + at[0]) / 2
@@ -98,20 +118,20 @@ def threshold(scores: DataFrame, width: float = 0.05) -> float | None:
 def filtered(pages: DataFrame, rules=RULES) -> DataFrame:
     """Verdicts of all ``pages`` (page_id, url; other columns are ignored): page_id, host, path, rule, verdict, score.
 
-    URLs that a rule decides are the labels: three quarters of the distinct ones, by crc32, train the models, the rest
-    calibrates the cut; the other URLs get the models' verdict (allow from the cut up; allow for all where a class has
-    no labels), and ``score`` is null for ruled ones. Null and empty URLs have an empty host and path and are scored as
-    an empty text. Repeated rows stay. An empty table gives no rows.
+    URLs that a rule decides are the labels: those of three quarters of the hosts, by crc32, train the models, the
+    others calibrate the cut, so no host is on both sides; the URLs without a rule get the models' verdict (allow from
+    the cut up; allow for all where ``threshold`` gives none), and ``score`` is null for ruled ones. A text that stands
+    under an allowed and a blocked URL counts on both sides. Null and empty URLs have an empty host and path and are
+    scored as an empty text. Repeated rows stay. An empty table gives no rows.
     """
     host, path = parts(F.col("url"))
-    rows = pages.select("page_id", F.coalesce(F.translate("url", UPPER, LOWER), F.lit("")).alias("t"), host.alias("host"), path.alias("path"))
+    rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("t", F.when(F.instr("t", "://") > 0, F.substring(F.col("t"), F.instr("t", "://") + 3, F.length("t"))).otherwise(F.col("t")))
-    rows = rows.select("page_id", "t", "host", "path", rule.alias("rule"), verdict.alias("ruled"))
-    labels = rows.where("rule is not null").select("t", (F.col("ruled") == "allow").alias("good")).distinct()
-    training = F.pmod(F.crc32(F.col("t").cast("binary")), F.lit(4)) != 0
-    model = common.stored(fitted(labels.where(training)), "url-model")
-    held = labels.where(~training)
+    rows = rows.select("page_id", seen(F.col("url"), F.col("host")).alias("t"), "host", "path", rule.alias("rule"), verdict.alias("ruled"))
+    training = F.pmod(F.crc32(F.col("host").cast("binary")), F.lit(4)) != 0
+    labels = rows.where("rule is not null").select("t", (F.col("ruled") == "allow").alias("good"), training.alias("training")).distinct()
+    model = common.stored(fitted(labels.where("training")), "url-model")
+    held = labels.where("not training")
     scores = common.stored(scored(rows.where("rule is null").select("t").unionAll(held.select("t")), model), "url-scores")
     cut = threshold(scores.join(held, "t"))
     found = rows.where("rule is null").join(scores, "t", "left")
