@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -534,3 +535,24 @@ def test_jaccard_join_does_not_depend_on_partitions(spark):
     for parts in (2, 23):
         got = jaccard_join.joined(frame.repartition(parts)).collect()
         assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == want
+
+
+def test_long_texts_are_read_in_pieces_that_cover_each_window_once(monkeypatch):
+    rng = random.Random(21)
+    texts = ["".join(rng.choice("abé ") for _ in range(n)) for n in (0, 100, 399, 400, 1200, 5000)] + ["ab" * 2000]
+    batch = pa.RecordBatch.from_pydict({"text": [*texts, None]})
+    found = []
+    for size in (1 << 18, 300, 1000):
+        monkeypatch.setattr(suffix_dedup, "PIECE", size)
+        windows, total = {}, 0
+        for raws, places in suffix_dedup.blocks([batch]):
+            for own, (piece, start, count, k, inside, data, begin) in suffix_dedup.pieces(raws, places):
+                for p, a, n, key, at, b in zip(piece, start, count, k, inside, begin, strict=True):
+                    doc, first = own[p]
+                    total += int(n)
+                    assert data[b : b + n + 399].tobytes() == raws[doc][first + a : first + a + n + 399]
+                    windows.update({(doc, first + a + j): (int(key), int(at) - j) for j in range(n)})
+        assert total == len(windows)
+        found.append(windows)
+    assert set(found[0]) == {(d, j) for d, t in enumerate(texts) for j in range(len(t.encode()) - 399)}
+    assert found[0] == found[1] == found[2]
