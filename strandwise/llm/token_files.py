@@ -119,79 +119,73 @@ class Segment:
             yield doc_id, a, ids[a:b]
 
 
-SEGMENTS = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("data", pa.binary())])
+SEGMENTS = pa.schema([("shard", pa.int32()), ("segment", pa.int32()), ("before", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("data", pa.binary())])
+_SEGMENTS = "shard int, segment int, before long, n_docs long, n_tokens long, data binary"
 
 
-def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int = 1, drops_space: bool = False, shard_rows: int = 4000, segment_tokens: int = 1 << 19) -> None:
+def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int = 1, drops_space: bool = False, shard_bytes: int = 32 << 20, segment_tokens: int = 1 << 19) -> None:
     """Encode ``documents`` (doc_id, text; other columns are ignored) and write segments in ascending doc_id order.
 
-    Shards are ranges of doc_id cut at quantiles of that column alone, so no hot key gathers rows; each is one task,
-    sorted by (doc_id, text). Null texts are empty, null doc_ids come first, repeated rows stay, an empty table writes
-    no segment. Within a shard, ``segment`` counts up; the order of all tokens is (shard, segment).
+    Shards are ranges of (doc_id, hash of the text, row) of about ``shard_bytes`` of text, so that rows of one doc_id,
+    and equal rows, are divided as well; each is one task. Null texts are empty, null doc_ids come first, rows of one
+    doc_id go by their text's hash, repeated rows stay, an empty table writes no segment. Within a shard ``segment``
+    counts up and ``before`` is the number of its earlier tokens; the order of all tokens is (shard, segment).
     """
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    n = rows.count()
-    shards = max(1, -(-n // shard_rows))
-    cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)], 100 * shards)).first()[0] or [])) if shards > 1 else []
-    # a comparison tree over the cuts: log2(shards) comparisons a row
-    def shard_of(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") <= F.lit(cuts[mid]), shard_of(lo, mid)).otherwise(shard_of(mid + 1, hi))
-
-    shard = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(shard_of(0, len(cuts))).cast("int")
-    dealt = rows.withColumn("shard", shard).repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    size = rows.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
+    keyed = rows.withColumn("hash", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    dealt = keyed.repartitionByRange(max(1, -(-size // shard_bytes)), F.col("doc_id").asc_nulls_first(), "hash", "row")
+    dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "hash", "row").select("doc_id", "text")
     file, end = tokenizer, np.array([end_id], np.uint32)
 
     def encode(batches):
+        from pyspark import TaskContext
+
         code = encoder(tokenizer_path(file), drops_space)
-        names, ids, size, number, shard = [], [], 0, 0, 0
+        shard = TaskContext.get().partitionId()
+        names, ids, size, number, before = [], [], 0, 0, 0
+
+        def made():
+            return common.table({"shard": [shard], "segment": [number], "before": [before], "n_docs": [len(names)], "n_tokens": [size], "data": [segment(names, ids)]}, SEGMENTS)
+
         for batch in batches:
             keys = batch.column("doc_id").to_pylist()
-            if len(keys):
-                shard = batch.column("shard")[0].as_py()
             for at, texts in common.grouped(enumerate(common.values(batch.column("text")))):
                 for k, x in zip(at, code.ids(texts), strict=True):
                     names.append(keys[k])
                     ids.append(np.concatenate([x, end]))
                     size += len(ids[-1])
                     if size >= segment_tokens:
-                        yield common.table({"shard": [shard], "segment": [number], "n_docs": [len(names)], "n_tokens": [size], "data": [segment(names, ids)]}, SEGMENTS)
+                        yield made()
+                        before += size
                         names, ids, size, number = [], [], 0, number + 1
         if names:
-            yield common.table({"shard": [shard], "segment": [number], "n_docs": [len(names)], "n_tokens": [size], "data": [segment(names, ids)]}, SEGMENTS)
+            yield made()
 
-    dealt.mapInArrow(encode, "shard int, segment int, n_docs long, n_tokens long, data binary").write.parquet(path)
+    common.arrow(dealt, encode, _SEGMENTS).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
-    found = spark.read.schema("shard int, segment int, n_docs long, n_tokens long, data binary").parquet(path)
-    sizes = found.select("shard", "segment", "n_tokens")
-    # one row a shard reaches the driver, a shard being thousands of documents; the sums inside a shard are a window
-    before, total = [], 0
-    for shard, tokens in sorted((r[0], r[1]) for r in sizes.groupBy("shard").agg(F.sum("n_tokens")).collect()):
-        before.append((shard, total))
-        total += tokens
-    base = spark.createDataFrame(before or [(0, 0)], "shard int, before long")
-    inside = F.sum("n_tokens").over(_by_segment()) - F.col("n_tokens")
-    starts = sizes.withColumn("inside", inside).join(base, "shard").select("shard", "segment", (F.col("before") + F.col("inside")).alias("base"))
+    """Per document of the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
+
+    The driver and each task get one number a shard; the segments themselves stay where they are read.
+    """
+    found = spark.read.schema(_SEGMENTS).parquet(path)
+    sums = sorted((r[0], r[1]) for r in found.groupBy("shard").agg(F.sum("n_tokens")).collect())
+    offsets = np.zeros((sums[-1][0] if sums else 0) + 2, np.int64)
+    for shard, tokens in sums:
+        offsets[shard + 1] = tokens
+    shared = spark.sparkContext.broadcast(np.cumsum(offsets))
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def decode(batches):
         for batch in batches:
-            for blob, base in zip(batch.column("data"), batch.column("base").to_pylist(), strict=True):
+            for shard, before, blob in zip(batch.column("shard").to_pylist(), batch.column("before").to_pylist(), batch.column("data"), strict=True):
+                base = int(shared.value[shard]) + before
                 rows = [(d, base + a, len(x), zlib.crc32(x.astype("<u4").tobytes())) for d, a, x in Segment(blob.as_py()).documents()]
                 yield common.table(dict(zip(schema.names, zip(*rows, strict=True), strict=True)), schema)
 
-    return found.select("shard", "segment", "data").join(starts, ["shard", "segment"]).select("data", "base").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
-
-
-def _by_segment():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("shard").orderBy("segment")
+    return common.arrow(found.select("shard", "before", "data"), decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
