@@ -118,7 +118,8 @@ def fitted(documents: DataFrame, most: int = 4000) -> Model:
                 if len(index):
                     yield common.table({"doc_id": [d], "lang": [lang], "index": [index.astype(np.uint16).tobytes()], "share": [(n / n.sum()).astype(np.float32).tobytes()]}, schema)
 
-    found = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(F.broadcast(ids), "doc_id").mapInArrow(run, "doc_id long, lang string, index binary, share binary").limit(most).collect()
+    picked = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(F.broadcast(ids), "doc_id")
+    found = common.arrow(picked, run, "doc_id long, lang string, index binary, share binary").limit(most).collect()
     found.sort(key=lambda r: (r[0] * 0x9E3779B1 % (1 << 32), r[1]))
     return train([(r[1], np.frombuffer(r[2], np.uint16).astype(np.int64), np.frombuffer(r[3], np.float32).astype(float)) for r in found])
 
@@ -145,7 +146,7 @@ def identified(documents: DataFrame, model: Model, reject: bool = False) -> Data
                     score[k] = float(min(s, 1.0))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang), pa.array(score)], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, schema)
+    return common.arrow(rows, run, schema)
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,7 +162,7 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str, end_id: int =
         if names:
             yield made()
 
-    common.arrow(dealt, encode, _SEGMENTS).write.parquet(path)
+    common.arrow(dealt, encode, _SEGMENTS, keeps=True).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

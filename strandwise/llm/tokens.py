@@ -15,9 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 
+from . import common
+
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
 _RUN = re.compile(r"\s\s")
-_loaded: dict[tuple, "UnitEncoder"] = {}
+_loaded: dict[tuple, "UnitEncoder"] = common.cached({})
 
 
 class UnitEncoder:
@@ -87,7 +89,7 @@ class UnitEncoder:
 
 
 def encoder(path: str, drops_space: bool) -> UnitEncoder:
-    """One encoder a process, so its cache serves all tasks of a worker."""
+    """One encoder a process, so its cache serves all tasks of a worker, until another operator's task empties it."""
     key = (path, drops_space)
     if key not in _loaded:
         _loaded[key] = UnitEncoder(path, drops_space)

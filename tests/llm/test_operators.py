@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from strandwise.llm import decontaminate, importance, jaccard_join, language, packing, pii, quality_rules, suffix_dedup, token_files, tokens, url_filter
+from strandwise.llm import common, decontaminate, importance, jaccard_join, language, packing, pii, quality_rules, suffix_dedup, token_files, tokens, url_filter
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, h1 string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -556,3 +556,37 @@ def test_long_texts_are_read_in_pieces_that_cover_each_window_once(monkeypatch):
         found.append(windows)
     assert set(found[0]) == {(d, j) for d, t in enumerate(texts) for j in range(len(t.encode()) - 399)}
     assert found[0] == found[1] == found[2]
+
+
+def test_tasks_empty_the_token_caches_of_earlier_operators():
+    class Here:
+        """A frame whose tasks run in this process, on no batches."""
+
+        def drop(self, *names):
+            return self
+
+        schema = type("Empty", (), {"fields": []})
+
+        def mapInArrow(self, task, schema):
+            return list(task(iter(())))
+
+    code = tokens.encoder(tokens.tokenizer_path("byte_bpe_50k.json"), False)
+    code.ids(["one two three"])
+    assert code.known
+    common.arrow(Here(), lambda batches: batches, "n long", keeps=True)
+    assert code in tokens._loaded.values()
+    assert language.identified(Here(), None) == [] and not tokens._loaded
+    again = tokens.encoder(tokens.tokenizer_path("byte_bpe_50k.json"), False)
+    common.arrow(Here(), lambda batches: batches, "n long")
+    assert not tokens._loaded and again is not code
+
+
+def test_packing_then_another_operator_in_one_worker(spark):
+    one = spark.createDataFrame([(k, f"one two {k}") for k in range(4)], "doc_id long, text string").coalesce(1)
+    assert packing.packed(one, "byte_bpe_50k.json").count() == 4
+
+    def left(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(tokens._loaded)] * batch.num_rows)], names=["n"])
+
+    assert {r.n for r in common.arrow(one.select("doc_id"), left, "n long").collect()} == {0}
