@@ -183,3 +183,42 @@ def test_stream_of_first_seen_rows(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(r.k for r in spark.sql("select * from seen").collect()) == ["k", "l"]
+
+
+def shuffled_rows(spark, name, action):
+    """What ``action`` returns, and the rows that its jobs write to exchanges."""
+    sc = spark.sparkContext
+    sc.setJobGroup(name, name)
+    try:
+        got = action()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+    stages = {s for job in tracker.getJobIdsForGroup(name) for s in tracker.getJobInfo(job).stageIds}
+    return got, sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
+
+
+def test_vocabulary_shuffles_sums_only(spark):
+    words = [f"w{k}" for k in range(60)]
+    texts = spark.createDataFrame([(i, " ".join(words)) for i in range(1000)], "i long, t string").repartition(4).cache()
+    texts.count()
+    got, rows = shuffled_rows(spark, "vocabulary", lambda: represent.vocabulary(texts, "t", 500).collect())
+    assert len(got) == 119 and {(r.df, r.cf) for r in got} == {(1000, 1000)}
+    assert rows <= 20 * 119  # one row a term and task in each exchange; there are 119,000 terms in all texts
+
+
+def test_vocabulary_counts_in_parts_and_breaks_ties(spark, monkeypatch):
+    from collections import Counter
+
+    rng = np.random.default_rng(3)
+    lists = [[f"w{k:02}" for k in rng.zipf(1.4, n) % 40] for n in rng.integers(0, 30, 200)]
+    texts = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lists)], "i long, t string").repartition(3)
+    grams = [x + [f"{a} {b}" for a, b in zip(x, x[1:], strict=False)] for x in lists]
+    cf, df = Counter(g for x in grams for g in x), Counter(g for x in grams for g in set(x))
+    for held, named in ((2_000_000, 4_000_000), (7, 4_000_000), (50, 0)):
+        monkeypatch.setattr(represent, "HELD", held)
+        monkeypatch.setattr(represent, "NAMED", named)
+        for size, least in ((1, 1), (25, 2), (120, 1), (10_000, 2)):
+            want = sorted(((g, df[g], cf[g]) for g in cf if df[g] >= least), key=lambda r: (-r[2], r[0]))[:size]
+            assert [tuple(r) for r in represent.vocabulary(texts, "t", size, least).collect()] == want
+    assert represent.vocabulary(texts.limit(0), "t", 5).collect() == []
