@@ -424,10 +424,8 @@ def tfidf_vocab(spark, sf_dir):
 )
 def tfidf_pair_distance(spark, sf_dir):
     rows = obs_text(spark, sf_dir)
-    w = represent.weights(rows, represent.vocabulary(rows, "text", TERMS), "doc_id", "text")
-    keyed = rows.select("cell", "cluster", "dimension", "family", "article", "stream", F.lit("A").alias("company"), "doc_id")
-    spine = design.matched_pairs(keyed, keep=("doc_id",)).select("a", "b", F.col("doc_id_a").alias("row_a"), F.col("doc_id_b").alias("row_b"))
-    return agg.pair_means(represent.sparse_distances(spine, w, "doc_id")).select("a", "b", *_r("mean_distance"), "n")
+    pairs = represent.sparse_distances(rows, represent.vocabulary(rows, "text", TERMS), "doc_id", "text", ["cell"], "stream", ["stream"])
+    return agg.pair_means(pairs.withColumnsRenamed({"stream_a": "a", "stream_b": "b"})).select("a", "b", *_r("mean_distance"), "n")
 
 
 @query(f"WITH n AS (SELECT doc_id, {_words_sql} AS n FROM documents), c AS (SELECT doc_id, n, unnest(range(0, greatest(n, 1), 220)) AS start FROM n) SELECT doc_id, start, greatest(1, least(220, n - start)) AS weight FROM c")

@@ -222,3 +222,38 @@ def test_vocabulary_counts_in_parts_and_breaks_ties(spark, monkeypatch):
             want = sorted(((g, df[g], cf[g]) for g in cf if df[g] >= least), key=lambda r: (-r[2], r[0]))[:size]
             assert [tuple(r) for r in represent.vocabulary(texts, "t", size, least).collect()] == want
     assert represent.vocabulary(texts.limit(0), "t", 5).collect() == []
+
+
+def test_pair_distances_shuffle_each_text_once(spark, tmp_path):
+    from strandwise.plans import queries
+
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words[i % 7 :]) for i in range(400)]
+    texts[5], texts[6] = None, "zz"
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source").write.parquet(str(tmp_path / "documents.parquet"))
+    got, rows = shuffled_rows(spark, "pairs", lambda: {(r.a, r.b): (r.mean_distance, r.n) for r in queries.tfidf_pair_distance(spark, str(tmp_path)).collect()})
+    assert rows <= 400 + 20 * 119 + 200  # 119 terms; all texts have 44,000
+    lists = [(t or "").split() for t in texts]
+    grams = [x + [f"{a} {b}" for a, b in zip(x, x[1:], strict=False)] for x in lists]
+    df = {g: sum(g in x for x in map(set, grams)) for g in {g for x in grams for g in x}}
+    unit = [np.array([(g in x) * (np.log(401 / (1 + df[g])) + 1) for g in sorted(df) if df[g] > 1]) for x in map(set, grams)]
+    unit = [v / (np.linalg.norm(v) or 1) for v in unit]
+    for a in range(4):
+        for b in range(a + 1, 4):
+            mean = np.mean([min(max(1 - unit[c + a] @ unit[c + b], 0), 2) for c in range(0, 400, 4)])
+            assert got[(a, b)][1] == 100 and abs(got[(a, b)][0] - mean) < 2e-6
+
+
+def test_repeated_rows_of_a_text_pair_as_in_a_join(spark):
+    texts = [(1, 0, "aa bb"), (1, 0, "bb cc"), (2, 1, "aa bb cc"), (2, 1, ""), (3, 0, None), (4, None, "aa"), (5, 1, "aa aa dd")]
+    rows = spark.createDataFrame(texts, "i long, s int, t string").withColumn("g", F.lit("x"))
+    words = spark.createDataFrame([("aa", 3, 4), ("bb", 3, 3), ("bb cc", 2, 2)], "term string, df long, cf long")
+    w = {}
+    for r in represent.weights(rows, words, "i", "t").collect():
+        w.setdefault(r.i, {})[r.term] = r.w
+    got = sorted((r.i_a, r.i_b, round(r.distance, 9)) for r in represent.sparse_distances(rows, words, "i", "t", ["g"], "s", ["i"]).collect())
+    want, n = [], {1: 2, 2: 2, 3: 1, 5: 1}
+    for a, b in ((1, 2), (1, 5), (3, 2), (3, 5)):
+        m = n[a] * n[b]
+        want += m * [(a, b, round(min(max(1 - m * sum(x * w.get(b, {}).get(k, 0) for k, x in w.get(a, {}).items()), 0.0), 2.0), 9))]
+    assert got == sorted(want)
