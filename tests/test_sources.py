@@ -257,3 +257,14 @@ def test_repeated_rows_of_a_text_pair_as_in_a_join(spark):
         m = n[a] * n[b]
         want += m * [(a, b, round(min(max(1 - m * sum(x * w.get(b, {}).get(k, 0) for k, x in w.get(a, {}).items()), 0.0), 2.0), 9))]
     assert got == sorted(want)
+
+
+def test_block_distances_shuffle_each_text_once(spark, tmp_path):
+    from strandwise.plans import audit
+
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words[i % 7 :]) for i in range(400)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source").write.parquet(str(tmp_path / "documents.parquet"))
+    got, rows = shuffled_rows(spark, "blocks", lambda: audit.tfidf_block_distance(spark, str(tmp_path)).collect())
+    assert rows <= 400 + 20 * 119 + 200  # 119 terms; all texts have 44,000
+    assert {(r.stream, r.dimension): r.n for r in got} == {(s, d): n for s in range(4) for d, n in (("d0", 60), ("d1", 150))}
